@@ -21,8 +21,20 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(read_table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE))
 
 
+def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .op7_sharding import digests
+
+    return digests(read_table(spark, sf_dir, "documents"), shards=40)
+
+
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .op9_pii import digests
+
+    return digests(read_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
-    named = [op2_bpe]
+    named = [op2_bpe, op7_sharding, op9_pii]
     return {f.__name__: f for f in named}
 
 
