@@ -15,12 +15,24 @@ Query = Callable[[SparkSession, str], DataFrame]
 BYTE_BPE = "byte_bpe_50k.json"
 
 
+def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .op1_simhash import digests
+
+    return digests(read_table(spark, sf_dir, "documents"))
+
+
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .op2_bpe import digests
 
     return digests(read_table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE))
 
 
+def op3_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .op3_lines import digests
+
+    return digests(read_table(spark, sf_dir, "documents"), min_docs=10)
+
+
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .op7_sharding import digests
 
@@ -34,9 +46,11 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    named = [op2_bpe, op7_sharding, op9_pii]
+    named = [op1_simhash, op2_bpe, op3_lines, op7_sharding, op9_pii]
     return {f.__name__: f for f in named}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from .op3_lines import ORACLE_SQL as lines
+
+    return {"op3_lines": lines}
