@@ -33,6 +33,18 @@ def op3_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(read_table(spark, sf_dir, "documents"), min_docs=10)
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .op5_toxicity import digests
+
+    return digests(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"), threshold=0.7)
+
+
+def op6_maxscore(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .op6_maxscore import top_k
+
+    return top_k(read_table(spark, sf_dir, "embeddings"), every=100, k=10)
+
+
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .op7_sharding import digests
 
@@ -46,11 +58,12 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    named = [op1_simhash, op2_bpe, op3_lines, op7_sharding, op9_pii]
+    named = [op1_simhash, op2_bpe, op3_lines, op5_toxicity, op6_maxscore, op7_sharding, op9_pii]
     return {f.__name__: f for f in named}
 
 
 def oracle_sql() -> dict[str, str]:
     from .op3_lines import ORACLE_SQL as lines
+    from .op6_maxscore import ORACLE_SQL as search
 
-    return {"op3_lines": lines}
+    return {"op3_lines": lines, "op6_maxscore": search}
