@@ -57,8 +57,14 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(read_table(spark, sf_dir, "documents"))
 
 
+def op10_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .op10_decontam import search
+
+    return search(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Query]:
-    named = [op1_simhash, op2_bpe, op3_lines, op5_toxicity, op6_maxscore, op7_sharding, op9_pii]
+    named = [op1_simhash, op2_bpe, op3_lines, op5_toxicity, op6_maxscore, op7_sharding, op9_pii, op10_decontam]
     return {f.__name__: f for f in named}
 
 
