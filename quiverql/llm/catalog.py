@@ -33,6 +33,12 @@ def op3_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(read_table(spark, sf_dir, "documents"), min_docs=10)
 
 
+def op4_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .op4_lattice import score
+
+    return score(read_table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE))
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .op5_toxicity import digests
 
@@ -64,7 +70,7 @@ def op10_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    named = [op1_simhash, op2_bpe, op3_lines, op5_toxicity, op6_maxscore, op7_sharding, op9_pii, op10_decontam]
+    named = [op1_simhash, op2_bpe, op3_lines, op4_lattice, op5_toxicity, op6_maxscore, op7_sharding, op9_pii, op10_decontam]
     return {f.__name__: f for f in named}
 
 
