@@ -57,6 +57,12 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(read_table(spark, sf_dir, "documents"), shards=40)
 
 
+def op8_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .op8_repeats import digests
+
+    return digests(read_table(spark, sf_dir, "documents"))
+
+
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .op9_pii import digests
 
@@ -70,7 +76,7 @@ def op10_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    named = [op1_simhash, op2_bpe, op3_lines, op4_lattice, op5_toxicity, op6_maxscore, op7_sharding, op9_pii, op10_decontam]
+    named = [op1_simhash, op2_bpe, op3_lines, op4_lattice, op5_toxicity, op6_maxscore, op7_sharding, op8_repeats, op9_pii, op10_decontam]
     return {f.__name__: f for f in named}
 
 

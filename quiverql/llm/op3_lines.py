@@ -87,7 +87,7 @@ class _Run:
         self.reached = False
 
 
-def _stream(batches: Iterator[pa.RecordBatch], min_docs: int, keep: str) -> Iterator[pa.RecordBatch]:
+def _stream(batches: Iterator[pa.RecordBatch], min_docs: int, keep: str, by_rows: bool) -> Iterator[pa.RecordBatch]:
     """Marks for the rows of one sorted partition; ``_Run`` goes across Arrow batches."""
     run: _Run | None = None
     first_run = True
@@ -111,7 +111,7 @@ def _stream(batches: Iterator[pa.RecordBatch], min_docs: int, keep: str) -> Iter
         ids = doc.fill_null(0).to_numpy(zero_copy_only=False)
         null = doc.is_null().to_numpy(zero_copy_only=False)
         new_key = np.r_[True, (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])]
-        new_doc = new_key | np.r_[True, (ids[1:] != ids[:-1]) | (null[1:] != null[:-1])]
+        new_doc = np.full(b.num_rows, True) if by_rows else new_key | np.r_[True, (ids[1:] != ids[:-1]) | (null[1:] != null[:-1])]
         starts = np.flatnonzero(new_key)
         stops = np.r_[starts[1:], b.num_rows]
         docs_in = np.add.reduceat(new_doc.astype(np.int64), starts)
@@ -126,7 +126,7 @@ def _stream(batches: Iterator[pa.RecordBatch], min_docs: int, keep: str) -> Iter
             if run is None:
                 run = _Run(key, edge=first_run)
             doc_at = None if null[at] else int(ids[at])
-            run.docs += n - (run.last == doc_at)
+            run.docs += n - (not by_rows and run.last == doc_at)
             run.last = None if null[to - 1] else int(ids[to - 1])
             run.held.append(b.slice(at, to - at))
             if run.docs < min_docs:
@@ -153,16 +153,21 @@ def dropped_lines(docs: DataFrame, min_docs: int, keep: str = NONE) -> DataFrame
     """
     if min_docs < 1 or keep not in (NONE, FIRST):
         raise ValueError("min_docs is at least 1, keep is 'none' or 'first'")
+    return frequent_rows(line_rows(docs), min_docs, keep)
+
+
+def frequent_rows(rows: DataFrame, min_docs: int, keep: str = NONE, by_rows: bool = False) -> DataFrame:
+    """(doc_id, th, pos) of the rows (h1, h2, doc_id, th, pos) whose hash is found in ``min_docs`` documents, or rows, at least."""
     order = ["h1", "h2", "doc_id", "th", "pos"]
-    rows = line_rows(docs).repartitionByRange(*order).sortWithinPartitions(*order)
-    marked = map_batches(rows, lambda it: _stream(it, min_docs, keep), "h1 long, h2 long, doc_id long, th long, pos int, kind byte, lead boolean")
+    rows = rows.repartitionByRange(*order).sortWithinPartitions(*order)
+    marked = map_batches(rows, lambda it: _stream(it, min_docs, keep, by_rows), "h1 long, h2 long, doc_id long, th long, pos int, kind byte, lead boolean")
     table = Written(marked).df
     sure = table.where(F.col("kind") == DROP).select("doc_id", "th", "pos")
     # edges of partitions: a REACHED row for each frequent run, open rows of fewer than min_docs documents each
     edge = table.where((F.col("kind") == OPEN) | F.col("lead"))
     runs = edge.groupBy("h1", "h2").agg(
         F.max((F.col("kind") == REACHED).cast("int")).alias("reached"),
-        F.countDistinct(F.when(F.col("kind") == OPEN, F.struct("doc_id"))).alias("docs"),
+        (F.count_if(F.col("kind") == OPEN) if by_rows else F.countDistinct(F.when(F.col("kind") == OPEN, F.struct("doc_id")))).alias("docs"),
         F.min(F.when(F.col("lead"), F.struct("doc_id", "th", "pos"))).alias("first"),
     )
     frequent = runs.where((F.col("reached") == 1) | (F.col("docs") >= min_docs)).select("h1", "h2", "first")
