@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
@@ -75,8 +76,12 @@ def op10_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Query]:
-    named = [op1_simhash, op2_bpe, op3_lines, op4_lattice, op5_toxicity, op6_maxscore, op7_sharding, op8_repeats, op9_pii, op10_decontam]
+    named = [op1_simhash, op2_bpe, op3_lines, op4_lattice, op5_toxicity, op6_maxscore, op7_sharding, op8_repeats, op9_pii, op10_decontam, pipeline]
     return {f.__name__: f for f in named}
 
 

@@ -65,14 +65,14 @@ def fingerprint(text: str, words: int = 3) -> int:
 
 
 def fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:
-    """``doc_id`` and ``fp`` (the fingerprint as a signed long) of every row."""
+    """``doc_id``, ``th`` (a hash of the text) and ``fp`` (the fingerprint as a signed long) of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             fp = np.array([fingerprint(t, words) for t in texts(b.column(1))], dtype=np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp)], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(fp)], ["doc_id", "th", "fp"])
 
-    return map_batches(document_texts(docs), run, "doc_id long, fp long")
+    return map_batches(document_texts(docs).withColumn("th", F.xxhash64("text")), run, "doc_id long, th long, fp long")
 
 
 def remainder(v: np.ndarray) -> np.ndarray:
@@ -149,15 +149,25 @@ def links(distinct: DataFrame) -> DataFrame:
 
 
 def components(docs: DataFrame, words: int = 3) -> DataFrame:
-    """``doc_id``, ``fp`` and ``component_id`` (the smallest id that is reachable) of every row."""
+    """``doc_id``, ``th``, ``fp``, ``root`` (a fingerprint of the component) and ``component_id`` (the smallest id that is reachable) of every row."""
     marked = Written(fingerprints(docs, words)).df
     distinct = Written(marked.groupBy("fp").agg(F.min("doc_id").alias("least"))).df
     roots = connected_components(links(distinct))
     rooted = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     # written, so that both sides of the last join are plain exchanges and a fingerprint with very many rows can be split
-    ids = Written(rooted.join(least, "root").select("fp", "component_id")).df
-    return marked.join(ids, "fp").select("doc_id", "fp", "component_id")
+    ids = Written(rooted.join(least, "root").select("fp", "root", "component_id")).df
+    return marked.join(ids, "fp").select("doc_id", "th", "fp", "root", "component_id")
+
+
+def one_of_each(docs: DataFrame, words: int = 3) -> DataFrame:
+    """One row of each component, with all its columns: that of the smallest id (of no id only if no row has one); of rows that also share the id, that of the smallest hash of the text."""
+    names = docs.columns
+    order = F.struct(F.col("doc_id").isNull().alias("n"), F.coalesce("doc_id", F.lit(0).cast("long")).alias("k"), F.col("th").alias("t"))
+    keep = components(docs, words).groupBy("root").agg(F.min(order).alias("x")).select(F.col("x.n").alias("_n"), F.col("x.k").alias("_k"), F.col("x.t").alias("_t"))
+    key = docs["doc_id"].cast("long")
+    rows = docs.select(*names, key.isNull().alias("_n"), F.coalesce(key, F.lit(0).cast("long")).alias("_k"), F.xxhash64(docs["text"].cast("string")).alias("_t"))
+    return rows.join(keep, ["_n", "_k", "_t"], "left_semi").dropDuplicates(["_n", "_k", "_t"]).select(*names)
 
 
 def as_hex(fp: Column) -> Column:

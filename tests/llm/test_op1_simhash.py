@@ -4,7 +4,7 @@ import numpy as np
 import xxhash
 
 from quiverql.llm.common import connected_components
-from quiverql.llm.op1_simhash import components, cosets, digests, fingerprint, homes, links, reach
+from quiverql.llm.op1_simhash import components, cosets, digests, fingerprint, homes, links, one_of_each, reach
 
 from .conftest import ODD_ROWS
 
@@ -86,3 +86,6 @@ def test_against_brute_force(docs_of, odd_docs):
     odd = components(odd_docs).collect()
     assert len(odd) == len(ODD_ROWS) and {r.component_id for r in odd if r.fp == 0} == {1}
     assert digests(docs_of([])).count() == 0
+    kept = one_of_each(docs_of(rows))
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(set(want.values())) and kept.columns == docs_of(rows).columns
+    assert one_of_each(odd_docs).count() == len({r.root for r in odd}) and one_of_each(docs_of([(None, "a b"), (None, "c d"), (None, "a b")])).count() == 2
