@@ -1,0 +1 @@
+"""Nothing here: the engine's query language has no streams, windows over time or watermarks."""
