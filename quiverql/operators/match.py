@@ -193,12 +193,13 @@ class Matcher:
         if not used:
             found = self.filtered(self._all(unit(self.graph), clause), clause)
             return Frame(frame.df.join(found.df.drop("unit"), F.lit(True), "left"), frame.scope | found.scope)
-        keys = [c for b in used.values() for c in b.keys()]
-        left = frame.df.select(*(col(c) for b in used.values() for c in b.every_column())).dropDuplicates(keys)
+        keys = list(dict.fromkeys(c for b in used.values() for c in b.keys()))
+        left = frame.df.select(*map(col, dict.fromkeys(c for b in used.values() for c in b.every_column()))).dropDuplicates(keys)
         found = self.filtered(self._all(Frame(left, used), clause), clause)
         new = {v: b for v, b in found.scope.items() if v not in used}
         again = {k: fresh("key") for k in keys}
-        right = found.df.select(*(col(k).alias(a) for k, a in again.items()), *(col(c) for b in new.values() for c in b.every_column()))
+        added = [c for c in dict.fromkeys(c for b in new.values() for c in b.every_column()) if c not in frame.df.columns]
+        right = found.df.select(*(col(k).alias(a) for k, a in again.items()), *map(col, added))
         on = reduce(lambda a, b: a & b, (col(k).eqNullSafe(col(a)) for k, a in again.items()))
         return Frame(frame.df.join(right, on, "left").drop(*again.values()), frame.scope | new)
 
