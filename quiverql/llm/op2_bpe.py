@@ -31,11 +31,11 @@ from .common import document_texts, map_batches, texts
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 #: Entries of a worker's young memory; a full one replaces the old memory.
-REMEMBERED = 400_000
+REMEMBERED = 150_000
 #: Longer words are not remembered.
 LONGEST_KEPT = 64
 #: Characters of text that are split into words and guessed together.
-CHUNK = 4_000_000
+CHUNK = 1_000_000
 #: Words of up to this many bytes are merged together, as rows of a matrix.
 MATRIX_WIDTH = 32
 #: Marks that are a word of their own after letters, at the end of a text without white space.
@@ -242,7 +242,7 @@ class BytePairCodec:
         pairs, where = np.unique((flat[:-1] << 32 | flat[1:])[inner], return_inverse=True)
         unseen = np.fromiter((p not in self.verdicts for p in pairs.tolist()), dtype=bool, count=len(pairs))
         fresh = pairs[unseen]
-        if len(self.verdicts) > 4 * REMEMBERED:
+        if len(self.verdicts) > REMEMBERED:
             self.verdicts.clear()
             fresh = pairs
         self.verdicts.update(zip(fresh.tolist(), self.compatible(fresh >> 32, fresh & 0xFFFFFFFF).tolist(), strict=True))
