@@ -227,7 +227,7 @@ def _hashed(docs: DataFrame) -> DataFrame:
             held = [xxhash.xxh3_64_intdigest(t.encode("utf-8", "surrogatepass")) for t in texts(b.column(names.index("text")))]
             yield pa.RecordBatch.from_arrays([pa.array(np.array(held, dtype=np.uint64).view(np.int64)), *b.columns], ["th", *names])
 
-    return docs.mapInArrow(run, schema)
+    return map_batches(docs, run, schema)
 
 
 def dedup_lines(docs: DataFrame, min_docs: int, keep: str = NONE) -> DataFrame:
@@ -244,7 +244,7 @@ def dedup_lines(docs: DataFrame, min_docs: int, keep: str = NONE) -> DataFrame:
 
     slim = joined.select("text", "bitmap", F.struct(*(F.col(f"row.{c}") for c in names if c != "text")).alias("row"))
     types = slim.schema["row"].dataType.simpleString()
-    kept = slim.mapInArrow(run, f"kept string, row {types}")
+    kept = map_batches(slim, run, f"kept string, row {types}")
     value = {"text": F.col("kept")}
     if "n_chars" in names:
         value["n_chars"] = F.length("kept").cast(docs.schema["n_chars"].dataType)

@@ -282,7 +282,7 @@ def with_score(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:
                 s = model.score([model.voters.votes(t) for t in texts(part.column(text))])
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(s)], [*names, name])
 
-    return docs.mapInArrow(run, docs.select(*names, F.lit(0.0).alias(name)).schema)
+    return map_batches(docs, run, docs.select(*names, F.lit(0.0).alias(name)).schema)
 
 
 def digests(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> DataFrame:

@@ -41,7 +41,7 @@ def test_merging_together_is_merging():
 
 
 def test_queries(docs_of, odd_docs):
-    rows = [(i, f"Document {i} says: thereafter, naïve façades!") for i in range(50)] + ODD_ROWS
+    rows = [(100 + i, f"Document {i} says: thereafter, naïve façades!") for i in range(50)] + ODD_ROWS
     docs = docs_of(rows)
     want = {}
     for (i, t), ids in zip(rows, library([t or "" for _, t in rows]), strict=True):
