@@ -31,6 +31,7 @@ import json
 import math
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -67,6 +68,46 @@ def pieces_of(path: str) -> list[bytes]:
     return sorted(p for p in raw if len(p) == 1 or len(p) <= PIECE and not p[1:].translate(None, b" \t\n\r\x0b\x0c") != p[1:])
 
 
+#: Bits and odd multipliers of the two tables in which a piece's bytes are looked up.
+SLOT_BITS, SLOT_HASHES = 17, (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
+
+
+def _slot(key: np.ndarray, which: int) -> np.ndarray:
+    return (key * np.uint64(SLOT_HASHES[which]) >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+
+
+def _slots(keys: np.ndarray, places: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Open tables (key, place) by slot; a key whose slot is taken in one goes to the next, the last few are listed."""
+    out = []
+    for which in range(len(SLOT_HASHES)):
+        at = _slot(keys, which)
+        table, place = np.zeros(1 << SLOT_BITS, dtype=np.uint64), np.full(1 << SLOT_BITS, -1)
+        _, first = np.unique(at, return_index=True)
+        table[at[first]], place[at[first]] = keys[first], places[first]
+        out.append((table, place))
+        left = np.ones(len(keys), dtype=bool)
+        left[first] = False
+        keys, places = keys[left], places[left]
+    order = np.argsort(keys)
+    return [*out, (keys[order], places[order])]
+
+
+def _look_up(tables: list[tuple[np.ndarray, np.ndarray]], key: np.ndarray) -> np.ndarray:
+    """The place of each key, -1 where it is no piece."""
+    table, place = tables[0]
+    at = _slot(key, 0)
+    out = np.where(table[at] == key, place[at], -1)
+    for which in range(1, len(SLOT_HASHES)):
+        table, place = tables[which]
+        if (place >= 0).any():
+            at = _slot(key, which)
+            out = np.where((table[at] == key) & (place[at] >= 0), place[at], out)
+    keys, places = tables[-1]
+    for k, p in zip(keys, places, strict=True):
+        out[key == k] = p
+    return out
+
+
 class Lattice:
     """Piece weights (natural logs) and sums over all segmentations of words."""
 
@@ -83,6 +124,7 @@ class Lattice:
             found.sort()
             self.keys.append(np.array([k for k, _ in found], dtype=np.uint64))
             self.places.append(np.array([i for _, i in found], dtype=np.int64))
+        self.tables = [_slots(k, p) for k, p in zip(self.keys, self.places, strict=True)]
         self.weights = np.full(len(pieces), -math.log(len(pieces) + 1))
         self.end = -math.log(len(pieces) + 1)
 
@@ -104,10 +146,9 @@ class Lattice:
         out, key, width = [], np.zeros(raw.shape, dtype=np.uint64), raw.shape[1]
         for n in range(1, min(PIECE, width) + 1):
             key = key[:, : width - n + 1] << np.uint64(8) | raw[:, n - 1 :]
-            at = np.minimum(np.searchsorted(self.keys[n - 1], key), max(len(self.keys[n - 1]) - 1, 0))
-            inside = np.arange(width - n + 1) + n <= lengths[:, None]
-            found = (self.keys[n - 1][at] == key) & inside if len(self.keys[n - 1]) else np.zeros(key.shape, bool)
-            place = np.where(found, self.places[n - 1][at], -1) if len(self.keys[n - 1]) else np.full(key.shape, -1)
+            place = _look_up(self.tables[n - 1], key)
+            place[np.arange(width - n + 1) + n > lengths[:, None]] = -1
+            found = place >= 0
             out.append((place, np.where(found, self.weights[place], -np.inf)))
         return out
 
@@ -256,7 +297,8 @@ class Scorer:
         if len(self.index) > REMEMBERED:
             self.forget()
         split = [tokens(t) for t in batch]
-        new = list({w for ws in split for w in ws if w not in self.index})
+        flat = list(chain.from_iterable(split))
+        new = [w for w in set(flat) if w not in self.index]
         if new:
             start = len(self.index)
             self.index.update(zip(new, range(start, start + len(new)), strict=True))
@@ -265,25 +307,27 @@ class Scorer:
             self.base = np.r_[self.base, np.where(c < 0, np.nan, np.log10(np.maximum(c, 0) + 0.5))]
             self.known = np.r_[self.known, c > 0].astype(np.int64)
         n = np.array([len(ws) for ws in split])
-        at = np.fromiter((self.index[w] for ws in split for w in ws), dtype=np.int64, count=int(n.sum()))
+        at = np.fromiter(map(self.index.__getitem__, flat), dtype=np.int64, count=len(flat))
         text = np.repeat(np.arange(len(batch)), n)
         begin = np.cumsum(n) - n
         place = np.arange(len(at)) - begin[text]
         key = text * len(self.index) + at
         order = np.argsort(key, kind="stable")
-        first = np.r_[True, key[order][1:] != key[order][:-1]] if len(at) else np.zeros(0, bool)
+        key = key[order]
+        first = np.r_[True, key[1:] != key[:-1]] if len(at) else np.zeros(0, bool)
         before = np.empty(len(at), dtype=np.int64)  # the same word, earlier in the text
         before[order] = np.arange(len(at)) - np.maximum.accumulate(np.where(first, np.arange(len(at)), 0))
         drawn = math.log(CONCENTRATION) + self.score[at]
-        drawn = np.where(before > 0, np.logaddexp(drawn, np.log(np.maximum(before, 1))), drawn) - np.log(place + CONCENTRATION)
+        again = before > 0
+        drawn[again] = np.logaddexp(drawn[again], np.log(before[again]))
+        drawn -= np.log(place + CONCENTRATION)
         base = self.base[at]
         other = np.isnan(base)
         total = lambda x: np.bincount(text, weights=x, minlength=len(batch))
-        rare = iter(np.flatnonzero(other).tolist())
-        flat = [w for ws in split for w in ws] if other.any() else []
         rare_of: list[list[bytes]] = [[] for _ in batch]
-        for k in rare:
-            rare_of[text[k]].append(flat[k])
+        rare = np.flatnonzero(other)
+        for k, t in zip(rare.tolist(), text[rare].tolist(), strict=True):
+            rare_of[t].append(flat[k])
         return n, total(drawn) / math.log(10), total(np.where(other, 0, base)), total(self.known[at]).astype(np.int64), rare_of
 
 
