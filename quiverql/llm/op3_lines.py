@@ -115,14 +115,20 @@ def _stream(batches: Iterator[pa.RecordBatch], min_docs: int, keep: str, by_rows
         starts = np.flatnonzero(new_key)
         stops = np.r_[starts[1:], b.num_rows]
         docs_in = np.add.reduceat(new_doc.astype(np.int64), starts)
-        for k, (at, to, n) in enumerate(zip(starts.tolist(), stops.tolist(), docs_in.tolist(), strict=True)):
+        if len(starts) > 2:  # runs with both ends in this batch are settled together
+            often = docs_in >= min_docs
+            often[0] = often[-1] = False
+            gone = np.repeat(often, stops - starts)
+            if keep == FIRST:
+                gone[starts] = False
+            if gone.any():
+                yield marks(b.take(pa.array(np.flatnonzero(gone))), DROP)
+        for k in sorted({0, len(starts) - 1}):
+            at, to, n = int(starts[k]), int(stops[k]), int(docs_in[k])
             key = (int(h1[at]), int(h2[at]))
             if run is not None and run.key != key:
                 yield from close(run, last=False)
                 run, first_run = None, False
-            inside = k < len(starts) - 1 and run is None and not first_run
-            if inside and n < min_docs:
-                continue  # the whole run is here and is rare
             if run is None:
                 run = _Run(key, edge=first_run)
             doc_at = None if null[at] else int(ids[at])
