@@ -112,7 +112,7 @@ def parse(data: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, ...]:
     at = np.arange(n - SEED + 1)
     h = _slide_safe(rolling.of(at, at + SEED))
     least = _slide(h, width, np.minimum)  # of the seeds in the string that begins here
-    owner = np.searchsorted(begin, np.arange(n - LENGTH + 1), side="right") - 1
+    owner = np.repeat(np.arange(len(begin) - 1), np.diff(begin))[: n - LENGTH + 1]
     inside = np.arange(n - LENGTH + 1) + LENGTH <= begin[owner + 1]
     # the anchor of a string: the first of its least seeds
     start = np.flatnonzero(inside)
@@ -132,9 +132,10 @@ def _slide_safe(h: np.ndarray) -> np.ndarray:
 def _first_least(h: np.ndarray, least: np.ndarray, width: int) -> np.ndarray:
     """For each stretch of ``width`` entries of ``h``, the first place of its minimum."""
     # places that are the minimum of some stretch that ends or begins there are few: look only at those
-    selected = np.flatnonzero(_slide(np.r_[np.zeros(width - 1, np.uint64), least, np.zeros(width - 1, np.uint64)], width, np.maximum) == h)
+    chosen = _slide(np.r_[np.zeros(width - 1, np.uint64), least, np.zeros(width - 1, np.uint64)], width, np.maximum) == h
+    selected = np.flatnonzero(chosen)
     values = h[selected]
-    out = np.searchsorted(selected, np.arange(len(least)))
+    out = (np.cumsum(chosen) - chosen)[: len(least)]
     # walk right from the first selected place until the value is the stretch's minimum
     open_ = np.flatnonzero(values[out] != least)
     while len(open_):
