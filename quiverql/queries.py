@@ -60,8 +60,19 @@ def small_graph(spark: SparkSession, sf_dir: str) -> PropertyGraph:
     return PropertyGraph(spark, (_generic_nodes(n.unionByName(r)),), (_generic_rels(e),), writable=True)
 
 
+_graphs: dict[tuple[str, str, str], PropertyGraph] = {}
+
+
+def known_graph(make: Callable[[SparkSession, str], PropertyGraph], spark: SparkSession, sf_dir: str) -> PropertyGraph:
+    """The graph over a folder, described once in a session: plans only, no rows are kept."""
+    key = (spark.sparkContext.applicationId, make.__name__, sf_dir)
+    if key not in _graphs:
+        _graphs[key] = make(spark, sf_dir)
+    return _graphs[key]
+
+
 def _run(text: str, params: dict[str, Any] | None, graph: Callable[[SparkSession, str], PropertyGraph], spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = GraphSession(graph(spark, sf_dir)).run(text, params)
+    df = GraphSession(known_graph(graph, spark, sf_dir)).run(text, params)
     # sums of doubles depend on the order of addition
     return df.select(*(F.round(c, 4).alias(c) if isinstance(df.schema[c].dataType, T.DoubleType) else F.col(c) for c in df.columns))
 
