@@ -273,13 +273,13 @@ def _apply(docs: DataFrame, each, schema: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = []
-            for z, runs in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+            rows, lists = [], b.column(2)
+            flat = lists.flatten()
+            first, last = (flat.field(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in (0, 1))
+            ends = np.cumsum(lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)).tolist()
+            for z, at, to in zip(b.column(1).to_pylist(), [0, *ends[:-1]], ends, strict=True):
                 raw = zlib.decompress(z)
-                gone = np.zeros(len(raw), dtype=bool)
-                if runs:
-                    gone = covered(len(raw), np.array([r["first"] for r in runs]), np.array([r["last"] for r in runs]))
-                rows.append(each(raw, gone))
+                rows.append(each(raw, covered(len(raw), first[at:to], last[at:to]) if to > at else np.zeros(len(raw), dtype=bool)))
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c) for c in zip(*rows, strict=True))], names) if rows else b.slice(0, 0)
 
     return map_batches(joined, run, schema)
