@@ -8,7 +8,10 @@ matches add up to code-point offsets.
 The patterns are written so that a scan is linear in the text: quantifiers are
 possessive where the next character cannot belong to them, and a run is only
 entered at its start (or where the match before ended), which gives the same
-leftmost non-overlapping matches.
+leftmost non-overlapping matches. An account number may be followed by
+capitals or digits after a space, so its pattern proposes the start only; it
+ends at a word's end within the longest number, at the length of its country
+if the check digits hold there, else at the last word for which they hold.
 
 Defined results: a null text counts as empty and has no spans; repeated rows
 give repeated results; texts are scanned whole; columns other than ``doc_id``
@@ -32,11 +35,20 @@ PATTERNS = {
     "ip": r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}",
     "card": r"[0-9](?:[ -]?[0-9])++",
     "phone": r"\+[0-9][ ().0-9-]+[0-9]",
-    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}+(?![A-Za-z0-9])",
+    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?= ?[A-Z0-9])",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
 }
 #: What a text must contain for a pattern to be tried at all.
 NEEDS = {"email": "@", "phone": "+", "ssn": "-"}
+#: Fewest and most characters of an account number without spaces, and how many those of a country have.
+IBAN_LEAST, IBAN_MOST = 15, 34
+IBAN_LENGTHS = {
+    x[:2]: int(x[2:])
+    for x in (
+        "AD24 AE23 AL28 AT20 AZ28 BA20 BE16 BG22 BH22 BR29 BY28 CH21 CR22 CY28 CZ24 DE22 DK18 DO28 EE20 EG29 ES24 FI18 FO18 FR27 GB22 GE22 GI23 GL18 GR27 GT28 HR21 HU28 "
+        "IE22 IL23 IQ23 IS26 IT27 JO30 KW30 KZ20 LB28 LC32 LI21 LT20 LU20 LV21 MC27 MD24 ME22 MK19 MR27 MT31 MU30 NL18 NO15 PK24 PL28 PS29 PT25 QA29 RO24 RS22 SA24 SC31 SE24 SI19 SK24 SM27 ST25 SV28 TN24 TR26 UA29 VA22 VG24 XK20"
+    ).split()
+}
 #: Score of a confirmed span before its context is looked at; of the added kinds those that reach KEEP stay.
 PRIOR = {"email": 0.8, "ip": 0.6, "card": 0.8, "phone": 0.7, "iban": 0.8, "ssn": 0.4}
 KEEP, WORDS_UP, WORDS_DOWN = 0.6, 0.2, 0.3
@@ -80,9 +92,6 @@ def confirmed(kind: str, match: Column) -> Column:
         return F.when(F.length(digits).between(13, 19), luhn(digits)).otherwise(False)
     if kind == "phone":
         return F.length(digits).between(9, 15)
-    if kind == "iban":
-        bare = F.replace(match, F.lit(" "), F.lit(""))
-        return F.length(bare).between(15, 34) & mod97(bare)
     return F.lit(True)
 
 
@@ -103,6 +112,37 @@ def proposed(kind: str, text: Column) -> Column:
     return F.when(may, spans).otherwise(F.expr("cast(array() as array<struct<s:int,e:int,m:string>>)"))
 
 
+def accounts(text: Column, starts: Column) -> Column:
+    """Account numbers that begin at ``starts``, leftmost first and without overlaps: array of (s, e, m)."""
+    fixed = F.create_map(*(F.lit(x) for pair in IBAN_LENGTHS.items() for x in pair))
+    # one step after the other, as what a lambda names twice is computed twice; ``near`` reaches one character past the longest number
+    near = F.transform(starts, lambda x: F.struct(x["s"].alias("s"), F.substr(text, x["s"] + 1, F.lit(2 * IBAN_MOST)).alias("near")))
+    runs = F.transform(near, lambda x: x.withField("run", F.length(F.regexp_extract(x["near"], r"^[A-Z0-9]++(?: [A-Z0-9]++)*+", 0))))
+    runs = F.filter(runs, lambda x: x["run"] >= IBAN_LEAST)
+
+    def heads(x: Column) -> Column:
+        places = F.filter(F.sequence(F.lit(IBAN_LEAST), x["run"]), lambda p: F.substr(x["near"], p, F.lit(2)).rlike("^[A-Z0-9]([^A-Za-z0-9]|$)"))
+        all_heads = F.transform(places, lambda p: F.substr(x["near"], F.lit(1), p))
+        bare = F.transform(all_heads, lambda m: F.struct(m.alias("m"), F.replace(m, F.lit(" "), F.lit("")).alias("bare")))
+        return F.filter(bare, lambda y: F.length(y["bare"]).between(IBAN_LEAST, IBAN_MOST) & mod97(y["bare"]))
+
+    good = F.transform(runs, lambda x: F.struct(x["s"].alias("s"), heads(x).alias("heads")))
+    good = F.filter(good, lambda x: F.size(x["heads"]) > 0)
+
+    def chosen(x: Column) -> Column:
+        own = F.filter(x["heads"], lambda y: F.length(y["bare"]) == fixed[F.substring(y["bare"], 1, 2)])
+        return F.coalesce(F.get(own, F.lit(0)), F.element_at(x["heads"], -1))["m"]
+
+    found = F.transform(good, lambda x: F.struct(x["s"].alias("s"), chosen(x).alias("m")))
+    found = F.transform(found, lambda x: F.struct(x["s"].alias("s"), (x["s"] + F.length(x["m"])).alias("e"), x["m"].alias("m")))
+
+    def add(acc: Column, x: Column) -> Column:
+        free = (F.size(acc) == 0) | (F.coalesce(F.get(acc, F.size(acc) - 1)["e"], F.lit(0)) <= x["s"])
+        return F.when(free, F.concat(acc, F.array(x))).otherwise(acc)
+
+    return F.aggregate(found, F.expr("cast(array() as array<struct<s:int,e:int,m:string>>)"), add)
+
+
 def _score(kind: str, text: Column, span: Column) -> Column:
     near = F.lower(F.concat(F.substring(text, F.greatest(span["s"] - NEAR + 1, F.lit(1)), F.least(span["s"], F.lit(NEAR))), F.lit(" "), F.substring(text, span["e"] + 1, F.lit(NEAR))))
     up = F.when(near.rlike(rf"\b(?:{CONTEXT[kind]})\b"), WORDS_UP).otherwise(0.0)
@@ -121,7 +161,7 @@ def find(docs: DataFrame) -> DataFrame:
     df = df.select("doc_id", "text", *(proposed(k, F.col("text")).alias(k) for k in kinds))
 
     def scored(kind: str) -> Column:
-        good = F.filter(F.col(kind), lambda x: confirmed(kind, x["m"]))
+        good = accounts(F.col("text"), F.col(kind)) if kind == "iban" else F.filter(F.col(kind), lambda x: confirmed(kind, x["m"]))
         spans = F.transform(good, lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), x["m"].alias("m"), _score(kind, F.col("text"), x).alias("score")))
         return spans if kind in BASE_KINDS else F.filter(spans, lambda x: x["score"] >= KEEP)
 

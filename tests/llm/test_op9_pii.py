@@ -51,6 +51,18 @@ def test_added_kinds(docs_of):
     assert [x.m for x in got[1].iban] == ["DE89 3704 0044 0532 0130 00"] and got[2].iban == [] and len(got[3].ssn) == 1 and got[4].ssn == []
 
 
+def test_account_numbers_before_other_words(docs_of):
+    de, gb = "DE89370400440532013000", "GB82WEST12345698765432"
+    cases = [
+        (f"IBAN {gb} The rest", [gb]), (f"IBAN {de} BIC COBADEFF", [de]), (f"IBAN {de} 5 euros", [de]), (f"bank {de} {gb} {de}, x", [de, gb, de]), ("IBAN GB82 WEST 1234 5698 7654 32 A 1 B", ["GB82 WEST 1234 5698 7654 32"]),
+        (f"IBAN {de}x", []), (f"IBAN {de}A", []), (f"IBAN x{de}", []), (f"\u00e9\U0001f600 IBAN {de} EUR", [de]), ("IBAN DE88370400440532013000 EUR 5", []), (f"bank DE12 {de}", [de]), ("IBAN " + "AB12 " * 3000, []),
+    ]
+    got = {r.doc_id: r.iban for r in find(docs_of([(i, t) for i, (t, _) in enumerate(cases)])).collect()}
+    for i, (text, want) in enumerate(cases):
+        assert [x.m for x in got[i]] == want, text
+        assert all(text[x.s : x.e] == x.m for x in got[i])
+
+
 def test_odd_rows(odd_docs, docs_of):
     assert digests(odd_docs).count() == odd_docs.count()
     assert digests(docs_of([])).count() == 0
