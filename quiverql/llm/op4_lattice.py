@@ -1,7 +1,7 @@
 """Language-model scores as likelihoods of a subword lattice.
 
-The base is a unigram model over the pieces of an existing vocabulary, with the
-most frequent training words as further pieces: a text is a sequence of pieces
+The base is a unigram model over the pieces of an existing vocabulary, with all
+training words as further pieces: a text is a sequence of pieces
 and one end, and its probability is the sum over all segmentations. A piece
 never goes across the space that begins a word, so the sum factors into words,
 each a forward recursion in log space over its lattice. The weights are learnt
@@ -13,10 +13,12 @@ words before it, of which c are the same, a word of base probability q has
 probability (c + A q) / (i + A), and the end A q / (i + A). So the score is
 still the logarithm of a probability over all texts.
 
-Words are counted over the whole corpus. Their number grows with it, so counts
-reach the documents in two ways: words of a bounded number that are frequent
-anywhere are broadcast, all others go through a join on the word, whose keys
-are rare by construction.
+Words are counted over the whole corpus. Their number grows with it, so what is
+learnt of a whole word stays beside its count in a distributed table, and the
+driver sees sums only. Counts and base probabilities reach the documents in two
+ways: words of a bounded number that are frequent anywhere are broadcast, all
+others go through a join on the word, whose keys are rare by construction. A
+word's part of a score is the same either way.
 
 Defined results: a null or empty text is the end alone; without training
 documents all counts are zero and pieces keep their initial weights; a null id
@@ -127,6 +129,8 @@ class Lattice:
         self.tables = [_slots(k, p) for k, p in zip(self.keys, self.places, strict=True)]
         self.weights = np.full(len(pieces), -math.log(len(pieces) + 1))
         self.end = -math.log(len(pieces) + 1)
+        #: Probability of the whole words that are kept elsewhere, and what their masses are divided by.
+        self.apart, self.norm = 0.0, 1.0
 
     def blocks(self, words: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """(which words, their bytes with a leading space padded to one width, their lengths)."""
@@ -164,13 +168,17 @@ class Lattice:
                 alpha[j] = safe + np.log(np.exp(terms - safe).sum(axis=0))
         return alpha
 
-    def scores(self, words: list[bytes]) -> np.ndarray:
-        """Natural log of each word's marginal probability."""
+    def scores(self, words: list[bytes], whole: np.ndarray | None = None) -> np.ndarray:
+        """Natural log of each word's marginal probability; ``whole``: weights as whole words (-inf: none) if kept elsewhere."""
         out = np.zeros(len(words))
         for which, raw, lengths in self.blocks(words):
             alpha = self.forward(self.edges(raw, lengths), *raw.shape)
             out[which] = alpha[lengths, np.arange(len(which))]
-        return np.logaddexp(out, self.whole_of(words)[1])
+        return np.logaddexp(out, self.whole_of(words)[1] if whole is None else whole)
+
+    def weights_apart(self, mass: np.ndarray) -> np.ndarray:
+        with np.errstate(divide="ignore"):
+            return np.log(mass / self.norm)
 
     def whole_of(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Each word's place among the whole words (-1: none) and weight as one."""
@@ -179,13 +187,19 @@ class Lattice:
 
     def end_of_words(self) -> float:
         """Natural log of the probability that the end comes next, rather than a word."""
-        start = np.exp(self.weights[self.starts]).sum() + np.exp(self.whole_weights).sum()
+        start = np.exp(self.weights[self.starts]).sum() + np.exp(self.whole_weights).sum() + self.apart
         return self.end - math.log(start + math.exp(self.end))
 
     def expected(self, words: list[bytes], counts: np.ndarray) -> np.ndarray:
         """Expected number of uses of each piece, then of each whole word, in words with these counts."""
-        total, whole_total = np.zeros(len(self.pieces)), np.zeros(len(self.whole))
         as_whole, whole_weight = self.whole_of(words)
+        total, uses = self.uses(words, counts, whole_weight)
+        some = as_whole >= 0
+        return np.r_[total, np.bincount(as_whole[some], weights=uses[some], minlength=len(self.whole))]
+
+    def uses(self, words: list[bytes], counts: np.ndarray, whole_weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Expected number of uses of each piece, and of each word as a whole, in words with these counts."""
+        total, as_one = np.zeros(len(self.pieces)), np.zeros(len(words))
         for which, raw, lengths in self.blocks(words):
             rows, width = raw.shape
             edges = self.edges(raw, lengths)
@@ -193,8 +207,7 @@ class Lattice:
             each = np.arange(rows)
             parts = alpha[lengths, each]
             full = np.logaddexp(parts, whole_weight[which])
-            some = as_whole[which] >= 0
-            whole_total += np.bincount(as_whole[which][some], weights=(np.exp(whole_weight[which] - full) * counts[which])[some], minlength=len(whole_total))
+            as_one[which] = np.exp(whole_weight[which] - full) * counts[which]
             beta = np.full((width + 1, rows), -np.inf)
             beta[lengths, each] = 0
             for i in range(width - 1, -1, -1):
@@ -208,14 +221,17 @@ class Lattice:
                 some = np.isfinite(part)
                 row = np.nonzero(some)[0]
                 total += np.bincount(place[some], weights=np.exp(part[some]) * counts[which][row], minlength=len(total))
-        return np.r_[total, whole_total]
+        return total, as_one
 
-    def learn(self, expected: np.ndarray, ends: float) -> None:
+    def learn(self, expected: np.ndarray, ends: float, apart: float = 0.0) -> None:
+        """New weights; ``apart`` is the mass of the whole words that are kept elsewhere."""
         floor = np.where(np.fromiter(map(len, self.pieces), dtype=np.int64) == 1, FLOOR_BYTE, FLOOR_PIECE)
         mass = expected + np.r_[floor, np.full(len(self.whole), FLOOR_PIECE)]
-        weights = np.log(mass / (mass.sum() + ends + FLOOR_BYTE))
+        self.norm = mass.sum() + apart + ends + FLOOR_BYTE
+        weights = np.log(mass / self.norm)
+        self.apart = apart / self.norm
         self.weights, self.whole_weights = weights[: len(floor)], weights[len(floor) :]
-        self.end = math.log((ends + FLOOR_BYTE) / (mass.sum() + ends + FLOOR_BYTE))
+        self.end = math.log((ends + FLOOR_BYTE) / self.norm)
 
 
 def tokens(text: str) -> list[bytes]:
@@ -246,30 +262,62 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return map_batches(docs, run, "word binary, c long, n long").groupBy("word").agg(F.sum("c").alias("c"), F.sum("n").alias("n"))
 
 
-def train(counts: DataFrame, ends: int, path: str, hot: dict[bytes, int]) -> Lattice:
-    """Weights from all training words. What reaches the driver in a round is one number for each piece and whole word."""
-    lattice = Lattice(pieces_of(path), {w: c for w, c in hot.items() if c})
-    words = counts.where("c > 0").select("word", "c")
+def train(counts: DataFrame, ends: int, path: str) -> tuple[DataFrame, Lattice]:
+    """(word, c, n, q) of all words, and the lattice: q is the natural log of a word's base probability.
+
+    Each training word's mass as a whole is carried in its row from one round
+    to the next. What reaches the driver in a round is one number for each piece.
+    """
+    spark = counts.sparkSession
+    lattice = Lattice(pieces_of(path))
+    sums = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("c")).first()
+    lattice.norm = max(4.0 * sums.c, 1.0)
+    lattice.apart = sums.c / lattice.norm
+    words, before = counts.select("word", "c", "n", F.col("c").cast("double").alias("mass")), None
+    schema = "word binary, c long, n long, mass double, piece int, x double"
     for _ in range(ROUNDS):
-        shared = counts.sparkSession.sparkContext.broadcast(lattice)
+        shared = spark.sparkContext.broadcast(lattice)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            total = np.zeros(len(shared.value.pieces) + len(shared.value.whole))
+            now = shared.value
+            total = np.zeros(len(now.pieces))
             for b in batches:
-                total += shared.value.expected(b.column(0).to_pylist(), b.column(1).to_numpy(zero_copy_only=False).astype(np.float64))
+                c, mass = (b.column(k).to_numpy(zero_copy_only=False).astype(np.float64) for k in (1, 3))
+                some = np.flatnonzero(c > 0)
+                taken = b.column(0).take(pa.array(some)).to_pylist()
+                pieces, whole = now.uses(taken, c[some], now.weights_apart(mass[some]))
+                total += pieces
+                mass[some] = whole + FLOOR_PIECE
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(mass), pa.nulls(b.num_rows, pa.int32()), pa.nulls(b.num_rows, pa.float64())], ["word", "c", "n", "mass", "piece", "x"])
             some = np.flatnonzero(total)
-            yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(total[some])], ["piece", "x"])
-
-        expected = np.zeros(len(lattice.pieces) + len(lattice.whole))
-        sums = map_batches(words, run, "piece int, x double").groupBy("piece").agg(F.sum("x").alias("x")).toArrow()
-        expected[sums.column(0).to_numpy()] = sums.column(1).to_numpy()
-        lattice.learn(expected, ends)
+            none = [pa.nulls(len(some), t) for t in (pa.binary(), pa.int64(), pa.int64(), pa.float64())]
+            yield pa.RecordBatch.from_arrays([*none, pa.array(some.astype(np.int32)), pa.array(total[some])], ["word", "c", "n", "mass", "piece", "x"])
+
+        # one pass gives both the words' new masses and the pieces' sums
+        written = Written(map_batches(words, run, schema))
+        if before:
+            before.drop()
+        before = written
+        expected = np.zeros(len(lattice.pieces))
+        found = written.df.where("piece is not null").groupBy("piece").agg(F.sum("x").alias("x")).toArrow()
+        expected[found.column(0).to_numpy()] = found.column(1).to_numpy()
+        words = written.df.where("piece is null").select("word", "c", "n", "mass")
+        lattice.learn(expected, ends, words.agg(F.coalesce(F.sum("mass"), F.lit(0.0))).first()[0])
         shared.unpersist()
-    return lattice
+    shared = spark.sparkContext.broadcast(lattice)
+
+    def last(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            q = shared.value.scores(b.column(0).to_pylist(), shared.value.weights_apart(b.column(3).to_numpy(zero_copy_only=False)))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(q)], ["word", "c", "n", "q"])
+
+    out = Written(map_batches(words, last, "word binary, c long, n long, q double")).df
+    before.drop()
+    return out, lattice
 
 
-def frequent(counts: DataFrame, most: int = FREQUENT) -> dict[bytes, int]:
-    """Training counts of the words that are most frequent anywhere: as many eighths of octaves of the count as hold ``most`` words together."""
+def frequent(counts: DataFrame, most: int = FREQUENT, *, also: str | None = None) -> dict:
+    """Training counts (with the column ``also``: pairs of both) of the words that are most frequent anywhere: as many eighths of octaves of the count as hold ``most`` words together."""
     step = F.floor(F.log2(F.col("n").cast("double")) * 8).cast("int")
     held, least = 0, None
     for r in counts.groupBy(step.alias("step")).count().orderBy(F.desc("step")).collect():  # at most 512 rows
@@ -278,14 +326,16 @@ def frequent(counts: DataFrame, most: int = FREQUENT) -> dict[bytes, int]:
         held, least = held + r["count"], r.step
     if least is None:
         return {}
-    return {bytes(r.word): r.c for r in counts.where(step >= least).select("word", "c").toLocalIterator()}
+    rows = counts.where(step >= least).select("word", "c", *([also] if also else [])).toLocalIterator()
+    return {bytes(r.word): (r.c, r[also]) if also else r.c for r in rows}
 
 
 class Scorer:
     """Scores the words of documents, remembering those it has met."""
 
-    def __init__(self, lattice: Lattice, hot: dict[bytes, int]):
-        self.lattice, self.hot = lattice, hot
+    def __init__(self, hot: dict[bytes, tuple[int, float]]):
+        """``hot``: counts and base log probabilities of the frequent words."""
+        self.hot = hot
         self.forget()
 
     def forget(self) -> None:
@@ -293,7 +343,7 @@ class Scorer:
         self.score, self.base, self.known = np.zeros(0), np.zeros(0), np.zeros(0, dtype=np.int64)
 
     def score_batch(self, batch: list[str]) -> tuple[np.ndarray, ...]:
-        """Of each text: words, log10 probability of its words, sum of log10(c + 0.5) and known words over frequent words; and its other words."""
+        """Of each text: words, log10 probability of its frequent words over the total of all words' places, sum of log10(c + 0.5) and known words over frequent words; and its other words."""
         if len(self.index) > REMEMBERED:
             self.forget()
         split = [tokens(t) for t in batch]
@@ -302,8 +352,9 @@ class Scorer:
         if new:
             start = len(self.index)
             self.index.update(zip(new, range(start, start + len(new)), strict=True))
-            c = np.array([self.hot.get(w, -1) for w in new])
-            self.score = np.r_[self.score, self.lattice.scores(new)]
+            pairs = [self.hot.get(w, (-1, 0.0)) for w in new]
+            c = np.array([c for c, _ in pairs])
+            self.score = np.r_[self.score, [q for _, q in pairs]]
             self.base = np.r_[self.base, np.where(c < 0, np.nan, np.log10(np.maximum(c, 0) + 0.5))]
             self.known = np.r_[self.known, c > 0].astype(np.int64)
         n = np.array([len(ws) for ws in split])
@@ -320,9 +371,9 @@ class Scorer:
         drawn = math.log(CONCENTRATION) + self.score[at]
         again = before > 0
         drawn[again] = np.logaddexp(drawn[again], np.log(before[again]))
-        drawn -= np.log(place + CONCENTRATION)
         base = self.base[at]
         other = np.isnan(base)
+        drawn = np.where(other, 0, drawn) - np.log(place + CONCENTRATION)
         total = lambda x: np.bincount(text, weights=x, minlength=len(batch))
         rare_of: list[list[bytes]] = [[] for _ in batch]
         rare = np.flatnonzero(other)
@@ -335,18 +386,19 @@ def score(docs: DataFrame, path: str) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score (both log10) of every row."""
     spark = docs.sparkSession
     slim = document_texts(docs).withColumn("held_out", held_out(F.col("doc_id")))
-    counts = Written(word_counts(slim)).df
+    counted = Written(word_counts(slim))
+    counts = counted.df
     ends = slim.where(~F.col("held_out")).count()
     sums = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count_if(F.col("c") > 0).alias("v")).first()
     n_all, distinct = sums.n + ends, sums.v + (ends > 0)
     share = math.log10(n_all + 0.5 * (distinct + 1))
-    hot = frequent(counts)
-    lattice = train(counts, ends, path, hot)
-    shared = spark.sparkContext.broadcast((lattice, hot))
+    counts, lattice = train(counts, ends, path)
+    counted.drop()
+    shared = spark.sparkContext.broadcast(frequent(counts, also="q"))
+    end10 = lattice.end_of_words() / math.log(10) + math.log10(CONCENTRATION)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(*shared.value)
-        end10 = scorer.lattice.end_of_words() / math.log(10) + math.log10(CONCENTRATION)
+        scorer = Scorer(shared.value)
         for b in batches:
             for at in range(0, b.num_rows, CHUNK):
                 part = b.slice(at, CHUNK)
@@ -360,11 +412,14 @@ def score(docs: DataFrame, path: str) -> DataFrame:
     # written with a row number of its own, which the join of the other words comes back to
     rows = Written(map_batches(slim, run, schema).withColumn("row", F.monotonically_increasing_id())).df
     met = rows.select("row", F.explode("rare").alias("word")).groupBy("row", "word").count()
-    found = met.join(counts.select("word", "c"), "word")
-    extra = found.groupBy("row").agg(F.sum(F.col("count") * F.log10(F.col("c") + 0.5)).alias("more"), F.sum(F.when(F.col("c") > 0, F.col("count")).otherwise(0)).alias("also"))
+    found = met.join(counts.select("word", "c", "q"), "word")
+    # the k-th time a word is drawn, log(A q + k - 1); q itself may be too small for a double
+    first = F.lit(math.log(CONCENTRATION)) + F.col("q")
+    again = F.when(F.col("count") > 1, F.aggregate(F.sequence(F.lit(1), F.greatest(F.col("count") - 1, F.lit(1)).cast("int")), F.lit(0.0), lambda s, k: s + F.log(k + F.exp(first)))).otherwise(0.0)
+    extra = found.groupBy("row").agg(F.sum(F.col("count") * F.log10(F.col("c") + 0.5)).alias("more"), F.sum(F.when(F.col("c") > 0, F.col("count")).otherwise(0)).alias("also"), F.sum((first + again) / math.log(10)).alias("drawn"))
     whole = rows.drop("rare").join(extra, "row", "left")
     zero = F.lit(0)
     return whole.select(
         "doc_id", "held_out", "n_tokens", (F.col("known") + F.coalesce("also", zero)).cast("long").alias("n_known"), F.lit(n_all).cast("long").alias("train_tokens"),
-        (F.col("base") + F.coalesce("more", zero.cast("double")) - F.col("n_tokens") * share).alias("base_score"), "score",
+        (F.col("base") + F.coalesce("more", zero.cast("double")) - F.col("n_tokens") * share).alias("base_score"), (F.col("score") + F.coalesce("drawn", zero.cast("double"))).alias("score"),
     )

@@ -71,5 +71,17 @@ def test_frequent_words_are_bounded(spark, docs_of):
     assert frequent(counts, 50) == {b"a": sum(i % 9 for i in range(100))} and frequent(counts, 0) == {} and len(frequent(counts, 1000)) == 101
 
 
+def test_all_words_are_pieces_whatever_is_broadcast(docs_of, monkeypatch):
+    """The bound on broadcast words moves counts about and changes no score."""
+    rng = random.Random(6)
+    rows = [(i, " ".join(rng.choice(["common", "thing", f"zyx{i}q", f"qvw{rng.randint(0, 40)}"]) for _ in range(30))) for i in range(60)] + ODD_ROWS
+    seen = []
+    for most in (0, 3, 100_000):
+        monkeypatch.setattr(frequent, "__defaults__", (most,))
+        seen.append(sorted((str(r.doc_id), r.n_tokens, r.score) for r in score(docs_of(rows), VOCABULARY).collect()))
+    for one in seen[:2]:
+        assert [x[:2] for x in one] == [x[:2] for x in seen[2]] and np.allclose([x[2] for x in one], [x[2] for x in seen[2]], rtol=1e-9)
+
+
 def test_empty(docs_of):
     assert score(docs_of([]), VOCABULARY).count() == 0
