@@ -45,18 +45,24 @@ def checkpointed(df: DataFrame) -> DataFrame:
 
 
 class Written:
-    """A frame written as Parquet in the shared folder, which ``drop`` deletes."""
+    """A frame written as Parquet in the shared folder.
+
+    ``drop`` deletes it; a table that a lazy result still reads is deleted when
+    the driver's file system is closed, at the latest when the driver ends.
+    """
 
     def __init__(self, df: DataFrame):
         spark = df.sparkSession
         self.path = f"{shared_dir(spark)}/quiverql/{uuid.uuid4().hex}"
         df.write.parquet(self.path)
         self.df = spark.read.schema(df.schema).parquet(self.path)
+        self._place = spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        self._files = self._place.getFileSystem(spark._jsc.hadoopConfiguration())
+        self._files.deleteOnExit(self._place)
 
     def drop(self) -> None:
-        jvm = self.df.sparkSession._jvm
-        path = jvm.org.apache.hadoop.fs.Path(self.path)
-        path.getFileSystem(self.df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+        self._files.delete(self._place, True)
+        self._files.cancelDeleteOnExit(self._place)
 
 
 def map_batches(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | StructType) -> DataFrame:
@@ -91,7 +97,7 @@ def document_texts(docs: DataFrame) -> DataFrame:
     return docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"))
 
 
-def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame) -> DataFrame:
     """Components of an undirected graph, by alternating large-star and small-star steps.
 
     ``edges`` has two long columns ``u`` and ``v`` in any order, with repeats
@@ -105,7 +111,7 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     u, v = F.col("u"), F.col("v")
     now = Written(edges.where(u != v).select(F.greatest(u, v).alias("u"), F.least(u, v).alias("v")).distinct())
     seen = None
-    for _ in range(rounds):
+    while True:  # the steps settle on any graph
         both = now.df.select(u, v).unionAll(now.df.select(v.alias("u"), u.alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
         # large star: every larger neighbour is linked to the smallest of the neighbourhood
@@ -120,8 +126,6 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         if mark == seen:
             break
         seen = mark
-    else:
-        raise RuntimeError(f"components did not settle in {rounds} rounds")
     members = now.df.select(u.alias("node"), v.alias("root"))
     return members.unionAll(members.select(F.col("root").alias("node"), "root").distinct())
 

@@ -165,9 +165,11 @@ def dropped_lines(docs: DataFrame, min_docs: int, keep: str = NONE) -> DataFrame
 def frequent_rows(rows: DataFrame, min_docs: int, keep: str = NONE, by_rows: bool = False) -> DataFrame:
     """(doc_id, th, pos) of the rows (h1, h2, doc_id, th, pos) whose hash is found in ``min_docs`` documents, or rows, at least."""
     order = ["h1", "h2", "doc_id", "th", "pos"]
-    rows = rows.repartitionByRange(*order).sortWithinPartitions(*order)
+    parsed = Written(rows)  # the range step samples its input first: from the file, not by parsing twice
+    rows = parsed.df.repartitionByRange(*order).sortWithinPartitions(*order)
     marked = map_batches(rows, lambda it: _stream(it, min_docs, keep, by_rows), "h1 long, h2 long, doc_id long, th long, pos int, kind byte, lead boolean")
     table = Written(marked).df
+    parsed.drop()
     sure = table.where(F.col("kind") == DROP).select("doc_id", "th", "pos")
     # edges of partitions: a REACHED row for each frequent run, open rows of fewer than min_docs documents each
     edge = table.where((F.col("kind") == OPEN) | F.col("lead"))
