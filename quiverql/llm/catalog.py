@@ -14,6 +14,8 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 #: Files of public tokenizers, by what they serve.
 BYTE_BPE = "byte_bpe_50k.json"
+#: A vocabulary of scored pieces.
+PIECES = "piece_bpe_32k.model"
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -37,7 +39,7 @@ def op3_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .op4_lattice import score
 
-    return score(read_table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE))
+    return score(read_table(spark, sf_dir, "documents"), public_tokenizers.path(PIECES))
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

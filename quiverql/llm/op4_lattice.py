@@ -1,24 +1,27 @@
 """Language-model scores as likelihoods of a subword lattice.
 
-The base is a unigram model over the pieces of an existing vocabulary, with all
-training words as further pieces: a text is a sequence of pieces
-and one end, and its probability is the sum over all segmentations. A piece
-never goes across the space that begins a word, so the sum factors into words,
-each a forward recursion in log space over its lattice. The weights are learnt
-here, by expectation maximisation over the words of all training documents with
-their counts. Words and end sum to one.
-
-A document draws its words from a Dirichlet process over that base: with i
-words before it, of which c are the same, a word of base probability q has
-probability (c + A q) / (i + A), and the end A q / (i + A). So the score is
-still the logarithm of a probability over all texts.
-
-Words are counted over the whole corpus. Their number grows with it, so what is
-learnt of a whole word stays beside its count in a distributed table, and the
-driver sees sums only. Counts and base probabilities reach the documents in two
-ways: words of a bounded number that are frequent anywhere are broadcast, all
-others go through a join on the word, whose keys are rare by construction. A
-word's part of a score is the same either way.
+A word is spelled by pieces of an existing vocabulary; its spelling probability
+is the sum over all segmentations, a forward recursion in log space over its
+lattice. The first piece holds the space before the word and is drawn from the
+pieces that have one; others follow until the word stops. The vocabulary's
+scores weight the pieces at first (by Zipf's law, as they are ranks), then
+expectation maximisation over all distinct training words refines them.
+
+Training words are pieces as a whole, too. Each keeps its count less a discount
+D, and what the discount frees is shared by spelling, so that with c the count
+of a word among N words of which V are distinct
+
+    P(word) = (max(c - D, 0) + (D V + 1) spelling(word)) / (N + 1)
+
+and the end of a text has the share of ends among all tokens. Spellings sum to
+one over all words, hence words and end do; a text's score is the logarithm of a
+probability over all texts. D comes from how many words occur once and twice.
+
+Words are counted over the whole corpus. Their number grows with it, so counts
+and probabilities stay in a distributed table, and the driver sees sums only.
+They reach the documents in two ways: words of a bounded number that are
+frequent anywhere are broadcast, all others go through a join on the word, whose
+keys are rare by construction. A word's part of a score is the same either way.
 
 Defined results: a null or empty text is the end alone; without training
 documents all counts are zero and pieces keep their initial weights; a null id
@@ -29,295 +32,301 @@ ignored; an empty table gives an empty table.
 
 from __future__ import annotations
 
-import json
 import math
-from collections import Counter
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Written, document_texts, map_batches, texts
-from .op2_bpe import byte_symbols
+from .common import Written, document_texts, map_batches
 
-#: Longest piece in bytes, its leading space included.
-PIECE = 8
-#: Concentration A of a document's process.
-CONCENTRATION = 300.0
 #: Passes of expectation maximisation.
-ROUNDS = 3
-#: Most words that are broadcast; entries of a worker's memory; counts that a task holds before it sends them on.
-FREQUENT, REMEMBERED, HELD = 150_000, 400_000, 300_000
+ROUNDS = 2
+#: Most words that are broadcast, and distinct words that a task holds before it sends their counts on.
+FREQUENT, HELD = 150_000, 400_000
 #: Added to the expected count of single bytes and of other pieces.
 FLOOR_BYTE, FLOOR_PIECE = 0.5, 1e-3
-#: Cells (words x bytes) of one lattice block, and documents that are scored together.
-CELLS, CHUNK = 400_000, 512
+#: Bytes of one lattice block, and documents that are looked at together.
+CELLS, CHUNK = 250_000, 512
+WHITE = b" \t\n\x0b\x0c\r"
 
 
 def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 1, F.lit(False))
 
 
-def pieces_of(path: str) -> list[bytes]:
-    """Pieces of up to PIECE bytes with no white space but a leading space; all single bytes are among them."""
-    to_byte = {c: b for b, c in enumerate(byte_symbols())}
-    with open(path, encoding="utf-8") as file:
-        names = json.load(file)["model"]["vocab"]
-    raw = {bytes(to_byte[c] for c in name) for name in names if all(c in to_byte for c in name)} | {bytes([b]) for b in range(256)}
-    return sorted(p for p in raw if len(p) == 1 or len(p) <= PIECE and not p[1:].translate(None, b" \t\n\r\x0b\x0c") != p[1:])
-
-
-#: Bits and odd multipliers of the two tables in which a piece's bytes are looked up.
-SLOT_BITS, SLOT_HASHES = 17, (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
-
-
-def _slot(key: np.ndarray, which: int) -> np.ndarray:
-    return (key * np.uint64(SLOT_HASHES[which]) >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+def pieces_of(path: str) -> tuple[list[bytes], np.ndarray]:
+    """Pieces of a sentencepiece vocabulary and their scores.
 
+    Left out is what a lower-cased word cannot hold: control pieces, capitals
+    A-Z, white space but for one leading space. All single bytes are there.
+    """
+    from sentencepiece import SentencePieceProcessor
+
+    vocabulary = SentencePieceProcessor(model_file=path)
+    found = {bytes([b]): -math.inf for b in range(256)}
+    for i in range(vocabulary.get_piece_size()):
+        if vocabulary.is_control(i) or vocabulary.is_unknown(i) or vocabulary.is_unused(i) or vocabulary.is_byte(i):
+            continue
+        piece = vocabulary.id_to_piece(i).replace("▁", " ").encode()
+        found[piece] = max(found.get(piece, -math.inf), vocabulary.get_score(i))
+    found.setdefault(b" ", -math.inf)
+    good = {p: s for p, s in found.items() if p == b" " or p and p == p.lower() and not any(c in p[p[:1] == b" " :] for c in WHITE)}
+    least = min((s for s in good.values() if s > -math.inf), default=-1.0)
+    pieces = sorted(good)
+    return pieces, np.array([max(good[p], least) for p in pieces])
+
+
+class Trie:
+    """Pieces by their bytes; a step from many nodes at once is a probe of one hash table."""
+
+    BITS, MULTIPLIER, END = 19, np.uint64(0x9E3779B97F4A7C15), 256
+
+    def __init__(self, pieces: list[bytes]):
+        nodes, ends = {b"": 0}, {}
+        for i, piece in enumerate(pieces):
+            for n in range(1, len(piece) + 1):
+                nodes.setdefault(piece[:n], len(nodes))
+            ends[nodes[piece]] = i
+        self.piece = np.full(len(nodes), -1, dtype=np.int32)
+        self.piece[list(ends.keys())] = list(ends.values())
+        bits = max(self.BITS, (4 * len(nodes)).bit_length())
+        self.shift, size = np.uint64(64 - bits), 1 << bits
+        self.keys, self.child = np.zeros(size, dtype=np.uint64), np.full(size, -1, dtype=np.int32)
+        prefixes = [p for p in nodes if p]
+        key = np.array([nodes[p[:-1]] << 9 | p[-1] for p in prefixes], dtype=np.uint64)
+        child = np.array([nodes[p] for p in prefixes], dtype=np.int32)
+        slot = self._slot(key)
+        left = np.arange(len(key))
+        while len(left):  # of those that want one free slot the first gets it, the others go on to the next
+            free = left[self.child[slot[left]] < 0]
+            _, first = np.unique(slot[free], return_index=True)
+            won = free[first]
+            self.keys[slot[won]], self.child[slot[won]] = key[won], child[won]
+            left = np.setdiff1d(left, won)
+            slot[left] = (slot[left] + 1) % size
+
+    def _slot(self, key: np.ndarray) -> np.ndarray:
+        return (key * self.MULTIPLIER >> self.shift).astype(np.int64)
+
+    def step(self, node: np.ndarray, byte: np.ndarray) -> np.ndarray:
+        """The node that each byte leads to, -1 where no piece goes on with it."""
+        key = node.astype(np.uint64) << np.uint64(9) | byte.astype(np.uint64)
+        slot = self._slot(key)
+        child = self.child[slot]
+        open_ = np.flatnonzero((child >= 0) & (self.keys[slot] != key))
+        while len(open_):
+            slot[open_] = (slot[open_] + 1) % len(self.child)
+            child[open_] = self.child[slot[open_]]
+            open_ = open_[(child[open_] >= 0) & (self.keys[slot[open_]] != key[open_])]
+        return child
+
+
+class Block:
+    """Words laid out one after the other, each with a space before and an end mark after it, and all pieces found in them."""
+
+    def __init__(self, trie: Trie, data: np.ndarray, begin: np.ndarray, length: np.ndarray):
+        """``data``: bytes of the words; word i has ``length[i]`` of them from ``begin[i]``."""
+        size = length + 2
+        self.head = np.cumsum(size) - size
+        self.tail = self.head + length + 1
+        flat = np.full(int(size.sum()), Trie.END, dtype=np.int32)
+        flat[self.head] = 32
+        at = np.arange(length.sum()) - np.repeat(np.cumsum(length) - length, length)
+        flat[at + np.repeat(self.head + 1, length)] = data[at + np.repeat(begin, length)]
+        place = np.flatnonzero(flat != Trie.END)
+        node, n = np.zeros(len(place), dtype=np.int32), 0
+        starts, stops, pieces = [], [], []
+        while len(place):
+            node = trie.step(node, flat[place + n])
+            n += 1
+            place, node = place[node >= 0], node[node >= 0]
+            piece = trie.piece[node]
+            some = piece >= 0
+            starts.append(place[some])
+            stops.append(place[some] + n)
+            pieces.append(piece[some])
+        self.size = len(flat)
+        self.start, self.stop, self.piece = (np.concatenate(x) for x in (starts, stops, pieces))
+        self.column = np.arange(self.size) - np.repeat(self.head, size)
+
+    def _swept(self, at: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Edges by the column of the place ``at``: (edges, where a place's edges begin among them, those places)."""
+        column = self.column[at]
+        order = np.argsort(column * np.int64(self.size) + at, kind="stable")
+        place = at[order]
+        new = np.flatnonzero(np.r_[True, place[1:] != place[:-1]])
+        bounds = np.searchsorted(column[order], np.arange(column.max(initial=0) + 2))
+        group = np.searchsorted(new, bounds)
+        for c in range(len(bounds) - 1):
+            a, b = bounds[c], bounds[c + 1]
+            if b > a:
+                begins = new[group[c] : group[c + 1]]
+                yield order[a:b], begins - a, place[begins]
+
+    def forward(self, weight: np.ndarray) -> np.ndarray:
+        """For each place, the log of the sum over all ways of spelling a word up to there."""
+        alpha = np.full(self.size, -np.inf)
+        alpha[self.head] = 0
+        w = weight[self.piece]
+        for edges, begins, place in self._swept(self.stop):
+            alpha[place] = _log_sums(alpha[self.start[edges]] + w[edges], begins)
+        return alpha
 
-def _slots(keys: np.ndarray, places: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Open tables (key, place) by slot; a key whose slot is taken in one goes to the next, the last few are listed."""
-    out = []
-    for which in range(len(SLOT_HASHES)):
-        at = _slot(keys, which)
-        table, place = np.zeros(1 << SLOT_BITS, dtype=np.uint64), np.full(1 << SLOT_BITS, -1)
-        _, first = np.unique(at, return_index=True)
-        table[at[first]], place[at[first]] = keys[first], places[first]
-        out.append((table, place))
-        left = np.ones(len(keys), dtype=bool)
-        left[first] = False
-        keys, places = keys[left], places[left]
-    order = np.argsort(keys)
-    return [*out, (keys[order], places[order])]
+    def backward(self, weight: np.ndarray) -> np.ndarray:
+        beta = np.full(self.size, -np.inf)
+        beta[self.tail] = 0
+        w = weight[self.piece]
+        for edges, begins, place in reversed(list(self._swept(self.start))):
+            beta[place] = _log_sums(beta[self.stop[edges]] + w[edges], begins)
+        return beta
 
 
-def _look_up(tables: list[tuple[np.ndarray, np.ndarray]], key: np.ndarray) -> np.ndarray:
-    """The place of each key, -1 where it is no piece."""
-    table, place = tables[0]
-    at = _slot(key, 0)
-    out = np.where(table[at] == key, place[at], -1)
-    for which in range(1, len(SLOT_HASHES)):
-        table, place = tables[which]
-        if (place >= 0).any():
-            at = _slot(key, which)
-            out = np.where((table[at] == key) & (place[at] >= 0), place[at], out)
-    keys, places = tables[-1]
-    for k, p in zip(keys, places, strict=True):
-        out[key == k] = p
-    return out
+def _log_sums(x: np.ndarray, begins: np.ndarray) -> np.ndarray:
+    """Logs of the sums of exponentials over stretches."""
+    top = np.maximum.reduceat(x, begins)
+    safe = np.where(np.isfinite(top), top, 0)
+    width = np.diff(np.r_[begins, len(x)])
+    with np.errstate(divide="ignore"):
+        return safe + np.log(np.add.reduceat(np.exp(x - np.repeat(safe, width)), begins))
 
 
 class Lattice:
     """Piece weights (natural logs) and sums over all segmentations of words."""
 
-    def __init__(self, pieces: list[bytes], whole: dict[bytes, int] | None = None):
-        """``whole``: words that are pieces by themselves, with their counts."""
-        self.pieces = pieces
-        self.starts = np.array([p[:1] == b" " for p in pieces])
-        self.whole = {w: i for i, w in enumerate(whole or {})}
-        counts = np.fromiter((whole or {}).values(), dtype=np.float64, count=len(self.whole))
-        self.whole_weights = np.log(counts / max(4 * counts.sum(), 1))
-        self.keys, self.places = [], []
-        for n in range(1, PIECE + 1):
-            found = [(int.from_bytes(p, "big"), i) for i, p in enumerate(pieces) if len(p) == n]
-            found.sort()
-            self.keys.append(np.array([k for k, _ in found], dtype=np.uint64))
-            self.places.append(np.array([i for _, i in found], dtype=np.int64))
-        self.tables = [_slots(k, p) for k, p in zip(self.keys, self.places, strict=True)]
-        self.weights = np.full(len(pieces), -math.log(len(pieces) + 1))
-        self.end = -math.log(len(pieces) + 1)
-        #: Probability of the whole words that are kept elsewhere, and what their masses are divided by.
-        self.apart, self.norm = 0.0, 1.0
-
-    def blocks(self, words: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """(which words, their bytes with a leading space padded to one width, their lengths)."""
-        lengths = np.fromiter(map(len, words), dtype=np.int64, count=len(words)) + 1
-        order = np.argsort(lengths, kind="stable")
-        at = 0
+    def __init__(self, pieces: list[bytes], scores: np.ndarray):
+        self.pieces, self.trie = pieces, Trie(pieces)
+        self.opens = np.array([p[:1] == b" " for p in pieces])
+        self.floor = np.where(np.fromiter(map(len, pieces), dtype=np.int64) == 1, FLOOR_BYTE, FLOOR_PIECE)
+        self.normalise(1 / (1 - scores), 0.5)
+
+    def normalise(self, mass: np.ndarray, stops: float) -> None:
+        """Weights from the masses of pieces and of the stop; a space alone is no word, so what would stop there is shared by the others."""
+        with np.errstate(divide="ignore"):
+            opening, going = mass[self.opens].sum(), mass[~self.opens].sum() + stops
+            self.weights = np.log(mass) - np.log(np.where(self.opens, opening, going))
+            self.stop = math.log(stops / going)
+        bare = sum(math.exp(self.weights[i] + self.stop) for i, p in enumerate(self.pieces) if p == b" ")
+        self.stop -= math.log1p(-bare)
+
+    def blocks(self, words: pa.Array) -> Iterator[tuple[np.ndarray, Block]]:
+        """(which words, their lattices), words of similar lengths together."""
+        words = words.cast(pa.binary())
+        length = pc.binary_length(words).to_numpy(zero_copy_only=False).astype(np.int64)
+        offset, data = (np.frombuffer(x, dtype=t) if x else np.zeros(1, t) for x, t in zip(words.buffers()[1:], (np.int32, np.uint8), strict=True))
+        begin = offset[words.offset : words.offset + len(words)].astype(np.int64)
+        order = np.argsort(length, kind="stable")
+        total, at = np.r_[0, np.cumsum(length[order] + 2)], 0
         while at < len(order):
-            width = int(-(-lengths[order[at]] // 4) * 4)
-            stop = min(int(np.searchsorted(lengths[order], width, side="right")), at + max(1, CELLS // width))
-            which = order[at:stop]
-            data = b"".join((b" " + words[i]).ljust(width, b"\0") for i in which.tolist())
-            yield which, np.frombuffer(data, dtype=np.uint8).reshape(len(which), width), lengths[which]
-            at = stop
-
-    def edges(self, raw: np.ndarray, lengths: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
-        """For each piece length: the piece at each place (-1: none) and its weight (-inf: none)."""
-        out, key, width = [], np.zeros(raw.shape, dtype=np.uint64), raw.shape[1]
-        for n in range(1, min(PIECE, width) + 1):
-            key = key[:, : width - n + 1] << np.uint64(8) | raw[:, n - 1 :]
-            place = _look_up(self.tables[n - 1], key)
-            place[np.arange(width - n + 1) + n > lengths[:, None]] = -1
-            found = place >= 0
-            out.append((place, np.where(found, self.weights[place], -np.inf)))
+            to = max(at + 1, int(np.searchsorted(total, total[at] + CELLS, side="right")) - 1)
+            yield order[at:to], Block(self.trie, data, begin[order[at:to]], length[order[at:to]])
+            at = to
+
+    def spelling(self, words: pa.Array) -> np.ndarray:
+        """Natural log of each word's marginal probability."""
+        out = np.zeros(len(words))
+        for which, block in self.blocks(words):
+            out[which] = block.forward(self.weights)[block.tail] + self.stop
         return out
 
-    @staticmethod
-    def forward(edges: list[tuple[np.ndarray, np.ndarray]], rows: int, width: int) -> np.ndarray:
-        alpha = np.full((width + 1, rows), -np.inf)
-        alpha[0] = 0
-        for j in range(1, width + 1):
-            terms = np.stack([alpha[j - n] + edges[n - 1][1][:, j - n] for n in range(1, min(len(edges), j) + 1)])
-            top = terms.max(axis=0)
-            safe = np.where(np.isfinite(top), top, 0)
-            with np.errstate(divide="ignore"):
-                alpha[j] = safe + np.log(np.exp(terms - safe).sum(axis=0))
-        return alpha
+    def uses(self, words: pa.Array) -> np.ndarray:
+        """Expected number of uses of each piece in these words, one of each."""
+        total = np.zeros(len(self.pieces))
+        for _, block in self.blocks(words):
+            alpha, beta = block.forward(self.weights), block.backward(self.weights)
+            word = np.searchsorted(block.head, block.start, side="right") - 1
+            x = alpha[block.start] + self.weights[block.piece] + beta[block.stop] - alpha[block.tail][word]
+            total += np.bincount(block.piece, weights=np.exp(x), minlength=len(total))
+        return total
 
-    def scores(self, words: list[bytes], whole: np.ndarray | None = None) -> np.ndarray:
-        """Natural log of each word's marginal probability; ``whole``: weights as whole words (-inf: none) if kept elsewhere."""
-        out = np.zeros(len(words))
-        for which, raw, lengths in self.blocks(words):
-            alpha = self.forward(self.edges(raw, lengths), *raw.shape)
-            out[which] = alpha[lengths, np.arange(len(which))]
-        return np.logaddexp(out, self.whole_of(words)[1] if whole is None else whole)
+    def learn(self, uses: np.ndarray, words: int) -> None:
+        self.normalise(uses + self.floor, words + FLOOR_BYTE)
 
-    def weights_apart(self, mass: np.ndarray) -> np.ndarray:
-        with np.errstate(divide="ignore"):
-            return np.log(mass / self.norm)
-
-    def whole_of(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """Each word's place among the whole words (-1: none) and weight as one."""
-        place = np.fromiter((self.whole.get(w, -1) for w in words), dtype=np.int64, count=len(words))
-        return place, np.where(place >= 0, self.whole_weights[place], -np.inf) if len(self.whole) else np.full(len(words), -np.inf)
-
-    def end_of_words(self) -> float:
-        """Natural log of the probability that the end comes next, rather than a word."""
-        start = np.exp(self.weights[self.starts]).sum() + np.exp(self.whole_weights).sum() + self.apart
-        return self.end - math.log(start + math.exp(self.end))
-
-    def expected(self, words: list[bytes], counts: np.ndarray) -> np.ndarray:
-        """Expected number of uses of each piece, then of each whole word, in words with these counts."""
-        as_whole, whole_weight = self.whole_of(words)
-        total, uses = self.uses(words, counts, whole_weight)
-        some = as_whole >= 0
-        return np.r_[total, np.bincount(as_whole[some], weights=uses[some], minlength=len(self.whole))]
-
-    def uses(self, words: list[bytes], counts: np.ndarray, whole_weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Expected number of uses of each piece, and of each word as a whole, in words with these counts."""
-        total, as_one = np.zeros(len(self.pieces)), np.zeros(len(words))
-        for which, raw, lengths in self.blocks(words):
-            rows, width = raw.shape
-            edges = self.edges(raw, lengths)
-            alpha = self.forward(edges, rows, width)
-            each = np.arange(rows)
-            parts = alpha[lengths, each]
-            full = np.logaddexp(parts, whole_weight[which])
-            as_one[which] = np.exp(whole_weight[which] - full) * counts[which]
-            beta = np.full((width + 1, rows), -np.inf)
-            beta[lengths, each] = 0
-            for i in range(width - 1, -1, -1):
-                terms = np.stack([beta[i + n] + edges[n - 1][1][:, i] for n in range(1, min(len(edges), width - i) + 1)] + [np.where(lengths == i, 0.0, -np.inf)])
-                top = terms.max(axis=0)
-                safe = np.where(np.isfinite(top), top, 0)
-                with np.errstate(divide="ignore"):
-                    beta[i] = safe + np.log(np.exp(terms - safe).sum(axis=0))
-            for n, (place, weight) in enumerate(edges, 1):
-                part = alpha[: width - n + 1].T + weight + beta[n:].T - full[:, None]
-                some = np.isfinite(part)
-                row = np.nonzero(some)[0]
-                total += np.bincount(place[some], weights=np.exp(part[some]) * counts[which][row], minlength=len(total))
-        return total, as_one
-
-    def learn(self, expected: np.ndarray, ends: float, apart: float = 0.0) -> None:
-        """New weights; ``apart`` is the mass of the whole words that are kept elsewhere."""
-        floor = np.where(np.fromiter(map(len, self.pieces), dtype=np.int64) == 1, FLOOR_BYTE, FLOOR_PIECE)
-        mass = expected + np.r_[floor, np.full(len(self.whole), FLOOR_PIECE)]
-        self.norm = mass.sum() + apart + ends + FLOOR_BYTE
-        weights = np.log(mass / self.norm)
-        self.apart = apart / self.norm
-        self.weights, self.whole_weights = weights[: len(floor)], weights[len(floor) :]
-        self.end = math.log((ends + FLOOR_BYTE) / self.norm)
-
-
-def tokens(text: str) -> list[bytes]:
-    return text.encode("utf-8", "surrogatepass").lower().split()
+
+def split_words(column: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """All words of the texts, A-Z lower-cased, and how many each text has."""
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(column.cast(pa.string()), "")))
+    flat = lists.flatten()
+    real = pc.greater(pc.binary_length(flat), 0)
+    text = np.repeat(np.arange(len(column)), lists.value_lengths().to_numpy(zero_copy_only=False))
+    return flat.filter(real).cast(pa.binary()), np.bincount(text[real.to_numpy(zero_copy_only=False)], minlength=len(column))
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
     """(word, c, n): how often a word is in training documents, and in all. ``docs`` has doc_id, text, held_out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        train, rest = Counter(), Counter()
+        held: list[pa.Table] = []
 
-        def full() -> pa.RecordBatch:
-            words = list(train.keys() | rest.keys())
-            c = [train[w] for w in words]
-            out = pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array(c, pa.int64()), pa.array([x + rest[w] for x, w in zip(c, words, strict=True)], pa.int64())], ["word", "c", "n"])
-            train.clear()
-            rest.clear()
-            return out
+        def merged() -> pa.Table:
+            t = pa.concat_tables(held).group_by("word", use_threads=False).aggregate([("c", "sum"), ("n", "sum")])
+            return t.select(["word", "c_sum", "n_sum"]).rename_columns(["word", "c", "n"])
 
         for b in batches:
-            for text, out in zip(texts(b.column(1)), b.column(2).to_pylist(), strict=True):
-                (rest if out else train).update(tokens(text))
-                if len(train) + len(rest) > HELD:
-                    yield full()
-        yield full()
+            for at in range(0, b.num_rows, CHUNK):
+                part = b.slice(at, CHUNK)
+                flat, per = split_words(part.column(1))
+                found = flat.dictionary_encode()
+                code = found.indices.to_numpy(zero_copy_only=False)
+                out = np.repeat(part.column(2).to_numpy(zero_copy_only=False), per)
+                n = np.bincount(code, minlength=len(found.dictionary))
+                c = n - np.bincount(code[out], minlength=len(n))
+                held.append(pa.table({"word": found.dictionary, "c": pa.array(c.astype(np.int64)), "n": pa.array(n.astype(np.int64))}))
+            if sum(t.num_rows for t in held) > HELD:
+                held = [merged()]
+                if held[0].num_rows > HELD // 2:
+                    yield from held[0].combine_chunks().to_batches()
+                    held = []
+        if held:
+            yield from merged().combine_chunks().to_batches()
 
     return map_batches(docs, run, "word binary, c long, n long").groupBy("word").agg(F.sum("c").alias("c"), F.sum("n").alias("n"))
 
 
-def train(counts: DataFrame, ends: int, path: str) -> tuple[DataFrame, Lattice]:
-    """(word, c, n, q) of all words, and the lattice: q is the natural log of a word's base probability.
-
-    Each training word's mass as a whole is carried in its row from one round
-    to the next. What reaches the driver in a round is one number for each piece.
-    """
-    spark = counts.sparkSession
-    lattice = Lattice(pieces_of(path))
-    sums = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("c")).first()
-    lattice.norm = max(4.0 * sums.c, 1.0)
-    lattice.apart = sums.c / lattice.norm
-    words, before = counts.select("word", "c", "n", F.col("c").cast("double").alias("mass")), None
-    schema = "word binary, c long, n long, mass double, piece int, x double"
+def train(words: DataFrame, path: str) -> Lattice:
+    """The lattice, its weights learnt from the words (``word``), each taken once. In a round one number for each piece reaches the driver."""
+    lattice = Lattice(*pieces_of(path))
     for _ in range(ROUNDS):
-        shared = spark.sparkContext.broadcast(lattice)
+        shared = words.sparkSession.sparkContext.broadcast(lattice)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            now = shared.value
-            total = np.zeros(len(now.pieces))
+            total, n = np.zeros(len(shared.value.pieces)), 0
             for b in batches:
-                c, mass = (b.column(k).to_numpy(zero_copy_only=False).astype(np.float64) for k in (1, 3))
-                some = np.flatnonzero(c > 0)
-                taken = b.column(0).take(pa.array(some)).to_pylist()
-                pieces, whole = now.uses(taken, c[some], now.weights_apart(mass[some]))
-                total += pieces
-                mass[some] = whole + FLOOR_PIECE
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(mass), pa.nulls(b.num_rows, pa.int32()), pa.nulls(b.num_rows, pa.float64())], ["word", "c", "n", "mass", "piece", "x"])
+                total += shared.value.uses(b.column(0))
+                n += b.num_rows
             some = np.flatnonzero(total)
-            none = [pa.nulls(len(some), t) for t in (pa.binary(), pa.int64(), pa.int64(), pa.float64())]
-            yield pa.RecordBatch.from_arrays([*none, pa.array(some.astype(np.int32)), pa.array(total[some])], ["word", "c", "n", "mass", "piece", "x"])
-
-        # one pass gives both the words' new masses and the pieces' sums
-        written = Written(map_batches(words, run, schema))
-        if before:
-            before.drop()
-        before = written
-        expected = np.zeros(len(lattice.pieces))
-        found = written.df.where("piece is not null").groupBy("piece").agg(F.sum("x").alias("x")).toArrow()
-        expected[found.column(0).to_numpy()] = found.column(1).to_numpy()
-        words = written.df.where("piece is null").select("word", "c", "n", "mass")
-        lattice.learn(expected, ends, words.agg(F.coalesce(F.sum("mass"), F.lit(0.0))).first()[0])
+            yield pa.RecordBatch.from_arrays([pa.array(np.r_[-1, some].astype(np.int32)), pa.array(np.r_[n, total[some]])], ["piece", "x"])
+
+        found = map_batches(words.select("word"), run, "piece int, x double").groupBy("piece").agg(F.sum("x").alias("x")).toArrow()
+        piece, x = (found.column(k).to_numpy() for k in (0, 1))
+        uses = np.zeros(len(lattice.pieces))
+        uses[piece[piece >= 0]] = x[piece >= 0]
+        if n := x[piece < 0].sum():
+            lattice.learn(uses, n)
         shared.unpersist()
-    shared = spark.sparkContext.broadcast(lattice)
+    return lattice
+
 
-    def last(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def weighed(counts: DataFrame, lattice: Lattice, total: int, distinct: int, discount: float) -> DataFrame:
+    """(word, c, n, q): q is the natural log of a word's probability among words."""
+    shared = counts.sparkSession.sparkContext.broadcast(lattice)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            q = shared.value.scores(b.column(0).to_pylist(), shared.value.weights_apart(b.column(3).to_numpy(zero_copy_only=False)))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(q)], ["word", "c", "n", "q"])
+            c = b.column(1).to_numpy(zero_copy_only=False)
+            with np.errstate(divide="ignore"):
+                own = np.log(np.maximum(c - discount, 0))
+            q = np.logaddexp(own, math.log(discount * distinct + 1) + shared.value.spelling(b.column(0))) - math.log(total + 1)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(q)], ["word", "c", "n", "q"])
 
-    out = Written(map_batches(words, last, "word binary, c long, n long, q double")).df
-    before.drop()
-    return out, lattice
+    return map_batches(counts.select("word", "c", "n"), run, "word binary, c long, n long, q double")
 
 
-def frequent(counts: DataFrame, most: int = FREQUENT, *, also: str | None = None) -> dict:
-    """Training counts (with the column ``also``: pairs of both) of the words that are most frequent anywhere: as many eighths of octaves of the count as hold ``most`` words together."""
+def frequent(counts: DataFrame, most: int = FREQUENT) -> dict[bytes, tuple[int, float]]:
+    """Counts and q of the words that are most frequent anywhere: as many eighths of octaves of the count as hold ``most`` words together. Which words these are changes no score."""
     step = F.floor(F.log2(F.col("n").cast("double")) * 8).cast("int")
     held, least = 0, None
     for r in counts.groupBy(step.alias("step")).count().orderBy(F.desc("step")).collect():  # at most 512 rows
@@ -326,60 +335,23 @@ def frequent(counts: DataFrame, most: int = FREQUENT, *, also: str | None = None
         held, least = held + r["count"], r.step
     if least is None:
         return {}
-    rows = counts.where(step >= least).select("word", "c", *([also] if also else [])).toLocalIterator()
-    return {bytes(r.word): (r.c, r[also]) if also else r.c for r in rows}
-
-
-class Scorer:
-    """Scores the words of documents, remembering those it has met."""
-
-    def __init__(self, hot: dict[bytes, tuple[int, float]]):
-        """``hot``: counts and base log probabilities of the frequent words."""
-        self.hot = hot
-        self.forget()
-
-    def forget(self) -> None:
-        self.index: dict[bytes, int] = {}
-        self.score, self.base, self.known = np.zeros(0), np.zeros(0), np.zeros(0, dtype=np.int64)
-
-    def score_batch(self, batch: list[str]) -> tuple[np.ndarray, ...]:
-        """Of each text: words, log10 probability of its frequent words over the total of all words' places, sum of log10(c + 0.5) and known words over frequent words; and its other words."""
-        if len(self.index) > REMEMBERED:
-            self.forget()
-        split = [tokens(t) for t in batch]
-        flat = list(chain.from_iterable(split))
-        new = [w for w in set(flat) if w not in self.index]
-        if new:
-            start = len(self.index)
-            self.index.update(zip(new, range(start, start + len(new)), strict=True))
-            pairs = [self.hot.get(w, (-1, 0.0)) for w in new]
-            c = np.array([c for c, _ in pairs])
-            self.score = np.r_[self.score, [q for _, q in pairs]]
-            self.base = np.r_[self.base, np.where(c < 0, np.nan, np.log10(np.maximum(c, 0) + 0.5))]
-            self.known = np.r_[self.known, c > 0].astype(np.int64)
-        n = np.array([len(ws) for ws in split])
-        at = np.fromiter(map(self.index.__getitem__, flat), dtype=np.int64, count=len(flat))
-        text = np.repeat(np.arange(len(batch)), n)
-        begin = np.cumsum(n) - n
-        place = np.arange(len(at)) - begin[text]
-        key = text * len(self.index) + at
-        order = np.argsort(key, kind="stable")
-        key = key[order]
-        first = np.r_[True, key[1:] != key[:-1]] if len(at) else np.zeros(0, bool)
-        before = np.empty(len(at), dtype=np.int64)  # the same word, earlier in the text
-        before[order] = np.arange(len(at)) - np.maximum.accumulate(np.where(first, np.arange(len(at)), 0))
-        drawn = math.log(CONCENTRATION) + self.score[at]
-        again = before > 0
-        drawn[again] = np.logaddexp(drawn[again], np.log(before[again]))
-        base = self.base[at]
-        other = np.isnan(base)
-        drawn = np.where(other, 0, drawn) - np.log(place + CONCENTRATION)
-        total = lambda x: np.bincount(text, weights=x, minlength=len(batch))
-        rare_of: list[list[bytes]] = [[] for _ in batch]
-        rare = np.flatnonzero(other)
-        for k, t in zip(rare.tolist(), text[rare].tolist(), strict=True):
-            rare_of[t].append(flat[k])
-        return n, total(drawn) / math.log(10), total(np.where(other, 0, base)), total(self.known[at]).astype(np.int64), rare_of
+    found = counts.where(step >= least).select("word", "c", "q").toArrow()
+    return dict(zip(found.column(0).to_pylist(), zip(found.column(1).to_pylist(), found.column(2).to_pylist(), strict=True), strict=True))
+
+
+def scored(hot: dict[bytes, tuple[int, float]], column: pa.Array) -> tuple[np.ndarray | pa.Array, ...]:
+    """Of each text: words, sums over its frequent words of q, log10(c + 0.5) and known words, and its other words."""
+    flat, per = split_words(column)
+    found = flat.dictionary_encode()
+    pairs = [hot.get(w, (-1, 0.0)) for w in found.dictionary.to_pylist()]
+    c, q = np.array([c for c, _ in pairs], dtype=np.int64), np.array([q for _, q in pairs], dtype=np.float64)
+    code = found.indices.to_numpy(zero_copy_only=False)
+    text = np.repeat(np.arange(len(column)), per)
+    total = lambda x: np.bincount(text, weights=x[code], minlength=len(column))
+    other = (c < 0)[code]
+    offsets = np.r_[0, np.cumsum(np.bincount(text[other], minlength=len(column)))]
+    rare = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), flat.filter(pa.array(other)))
+    return per, total(q), total(np.where(c < 0, 0, np.log10(np.maximum(c, 0) + 0.5))), total(c > 0).astype(np.int64), rare
 
 
 def score(docs: DataFrame, path: str) -> DataFrame:
@@ -387,24 +359,24 @@ def score(docs: DataFrame, path: str) -> DataFrame:
     spark = docs.sparkSession
     slim = document_texts(docs).withColumn("held_out", held_out(F.col("doc_id")))
     counted = Written(word_counts(slim))
-    counts = counted.df
     ends = slim.where(~F.col("held_out")).count()
-    sums = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count_if(F.col("c") > 0).alias("v")).first()
-    n_all, distinct = sums.n + ends, sums.v + (ends > 0)
-    share = math.log10(n_all + 0.5 * (distinct + 1))
-    counts, lattice = train(counts, ends, path)
+    one = lambda k: F.count_if(F.col("c") == k)
+    words, distinct, once, twice = counted.df.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count_if(F.col("c") > 0), one(1), one(2)).first()
+    discount = min(max(once / (once + 2 * twice), 0.05), 0.95) if once else 0.5
+    share = math.log10(words + ends + 0.5 * (distinct + (ends > 0) + 1))
+    lattice = train(counted.df.where("c > 0"), path)
+    counts = Written(weighed(counted.df, lattice, words, distinct, discount)).df
     counted.drop()
-    shared = spark.sparkContext.broadcast(frequent(counts, also="q"))
-    end10 = lattice.end_of_words() / math.log(10) + math.log10(CONCENTRATION)
+    shared = spark.sparkContext.broadcast(frequent(counts, FREQUENT))
+    word10, end10 = (math.log10((x + 0.5) / (words + ends + 1)) for x in (words, ends))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(shared.value)
         for b in batches:
             for at in range(0, b.num_rows, CHUNK):
                 part = b.slice(at, CHUNK)
-                n, total, base, known, rare = scorer.score_batch(texts(part.column(1)))
+                n, q, base, known, rare = scored(shared.value, part.column(1))
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), part.column(2), pa.array(n.astype(np.int64) + 1), pa.array(total + end10 - np.log10(n + CONCENTRATION)), pa.array(base + math.log10(ends + 0.5)), pa.array(known + (ends > 0)), pa.array(rare, pa.list_(pa.binary()))],
+                    [part.column(0), part.column(2), pa.array(n.astype(np.int64) + 1), pa.array(q / math.log(10) + n * word10 + end10), pa.array(base + math.log10(ends + 0.5)), pa.array(known + (ends > 0)), rare],
                     ["doc_id", "held_out", "n_tokens", "score", "base", "known", "rare"],
                 )
 
@@ -413,13 +385,12 @@ def score(docs: DataFrame, path: str) -> DataFrame:
     rows = Written(map_batches(slim, run, schema).withColumn("row", F.monotonically_increasing_id())).df
     met = rows.select("row", F.explode("rare").alias("word")).groupBy("row", "word").count()
     found = met.join(counts.select("word", "c", "q"), "word")
-    # the k-th time a word is drawn, log(A q + k - 1); q itself may be too small for a double
-    first = F.lit(math.log(CONCENTRATION)) + F.col("q")
-    again = F.when(F.col("count") > 1, F.aggregate(F.sequence(F.lit(1), F.greatest(F.col("count") - 1, F.lit(1)).cast("int")), F.lit(0.0), lambda s, k: s + F.log(k + F.exp(first)))).otherwise(0.0)
-    extra = found.groupBy("row").agg(F.sum(F.col("count") * F.log10(F.col("c") + 0.5)).alias("more"), F.sum(F.when(F.col("c") > 0, F.col("count")).otherwise(0)).alias("also"), F.sum((first + again) / math.log(10)).alias("drawn"))
+    extra = found.groupBy("row").agg(
+        F.sum(F.col("count") * F.log10(F.col("c") + 0.5)).alias("more"), F.sum(F.when(F.col("c") > 0, F.col("count")).otherwise(0)).alias("also"), F.sum(F.col("count") * F.col("q") / math.log(10)).alias("drawn")
+    )
     whole = rows.drop("rare").join(extra, "row", "left")
     zero = F.lit(0)
     return whole.select(
-        "doc_id", "held_out", "n_tokens", (F.col("known") + F.coalesce("also", zero)).cast("long").alias("n_known"), F.lit(n_all).cast("long").alias("train_tokens"),
+        "doc_id", "held_out", "n_tokens", (F.col("known") + F.coalesce("also", zero)).cast("long").alias("n_known"), F.lit(words + ends).cast("long").alias("train_tokens"),
         (F.col("base") + F.coalesce("more", zero.cast("double")) - F.col("n_tokens") * share).alias("base_score"), (F.col("score") + F.coalesce("drawn", zero.cast("double"))).alias("score"),
     )
