@@ -51,6 +51,22 @@ def test_added_kinds(docs_of):
     assert [x.m for x in got[1].iban] == ["DE89 3704 0044 0532 0130 00"] and got[2].iban == [] and len(got[3].ssn) == 1 and got[4].ssn == []
 
 
+def test_secrets(docs_of):
+    key = "04dbebab91ab85687d33eeaaf9ac699e1188f962"
+    rows = [f'x token = "{key}" y', f"sha1 {key}", "token aaaaaaaaaaaaaaaaaaaaaaaaaaaaa1", "the key is in incomprehensibilities-of-words", f"api_key:{key.upper()}é", f"password for serial {key}"]
+    got = {r.doc_id: [x.m for x in r.secret] for r in find(docs_of(list(enumerate(rows)))).collect()}
+    assert got == {0: [key], 1: [], 2: [], 3: [], 4: [key.upper()], 5: []}
+
+
+def test_very_many_matches(docs_of):
+    texts = ["é" + "😀 a@b.c 1.2.3.4\n" * 9000, " ".join(f"DE89370400440532013000 +1 (017) 555-{i:04d}" for i in range(3000))]
+    got = {r.doc_id: r for r in digests(docs_of(list(enumerate(texts)))).collect()}
+    for i, t in enumerate(texts):
+        listing = ",".join(f"{k}:{s}:{e}" for k, s, e in brute(t))
+        assert got[i].base_sha256 == hashlib.sha256(listing.encode()).hexdigest() and got[i].spans.startswith(listing)
+    assert got[1].spans.count("iban") == 3000
+
+
 def test_account_numbers_before_other_words(docs_of):
     de, gb = "DE89370400440532013000", "GB82WEST12345698765432"
     cases = [
