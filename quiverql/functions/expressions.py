@@ -18,7 +18,9 @@ from pyspark.sql import types as T
 from ..plans.parser import QueryError
 from ..plans.syntax import Agg, Binary, Call, Compare, Expr, ListOf, Lit, Logic, Neg, Param, Prop, Var
 
+#: What a path holds of its nodes and of its relationships until they are returned.
 NODE_REF = T.StructType([T.StructField("table", T.StringType()), T.StructField("id", T.StringType())])
+REL_REF = T.StructType([T.StructField(n, T.StringType()) for n in ("rel_table", "rel_id", "type", "src", "dst")])
 
 
 def col(name: str) -> Column:
@@ -35,6 +37,7 @@ class Bound:
     tables: tuple[str, ...] = ()
     type: T.DataType | None = None  # of a value, or of an id
     hidden: dict[str, str] = field(default_factory=dict)  # keys of other nodes that the row carries, by relationship table
+    ends: T.DataType | None = None  # of a relationship's source and target keys
 
     def every_column(self) -> list[str]:
         return [*self.cols.values(), *(c for c, _ in self.props.values()), *self.hidden.values()]
@@ -142,7 +145,7 @@ class Lowering:
         if e.name == "type":
             return (col(b.cols["type"]), T.StringType()) if b and b.kind == "rel" else (none, T.NullType())
         if e.name in ("nodes", "relationships"):
-            return (col(b.cols["nodes" if e.name == "nodes" else "rels"]), T.ArrayType(NODE_REF)) if b and b.kind == "path" else (none, T.NullType())
+            return (col(b.cols["nodes" if e.name == "nodes" else "rels"]), T.ArrayType(NODE_REF if e.name == "nodes" else REL_REF)) if b and b.kind == "path" else (none, T.NullType())
         if b and b.kind == "path":
             return F.size(col(b.cols["rels"])).cast("long"), T.LongType()
         c, t = self.value(e.arg)
@@ -226,7 +229,7 @@ def entity(b: Bound) -> Typed:
     if b.kind == "node":
         fields = [("id", b.cols["id"], b.type), ("labels", b.cols["labels"], T.ArrayType(T.StringType()))]
     else:
-        fields = [("id", b.cols["id"], b.type or T.LongType()), ("type", b.cols["type"], T.StringType()), ("startNode", b.cols["src"], T.StringType()), ("endNode", b.cols["dst"], T.StringType())]
+        fields = [("id", b.cols["id"], b.type or T.LongType()), ("type", b.cols["type"], T.StringType()), ("startNode", b.cols["src"], b.ends or T.StringType()), ("endNode", b.cols["dst"], b.ends or T.StringType())]
     whole = F.struct(*(col(c).alias(n) for n, c, _ in fields), *([inner.alias("properties")] if props else []))
     t = T.StructType([*(T.StructField(n, x) for n, _, x in fields), *([T.StructField("properties", inner_t)] if props else [])])
     return F.when(col(b.cols["table"]).isNotNull(), whole), t

@@ -11,14 +11,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.expressions import NODE_REF, Bound, Lowering, Scope, col, common, same_node
+from ..functions.expressions import NODE_REF, REL_REF, Bound, Lowering, Scope, col, common, same_node
 from ..plans.parser import QueryError
 from ..plans.syntax import Match, NodePat, Pattern, RelPat, variables
 from ..sources.graph import NodeTable, PropertyGraph, RelTable
 
 _fresh = count()
-#: Hops after which the frontier of an unbounded path is written to the shared folder, and the most hops that are followed.
-CUT, MOST = 4, 1_000
+#: Hops after which the frontier of a long path is written to the shared folder.
+CUT = 4
 
 
 def fresh(name: str) -> str:
@@ -159,12 +159,12 @@ def edges(graph: PropertyGraph, pat: RelPat, ways: list[Option]) -> tuple[DataFr
         parts.append(
             df.select(
                 (df[r.id].cast(id_type) if has_id else F.lit(None).cast("long")).alias(names["id"]), F.lit(r.name).alias(names["table"]),
-                (df[r.type_column] if r.type_column else F.lit(r.type)).alias(names["type"]), df[r.src].cast("string").alias(names["src"]), df[r.dst].cast("string").alias(names["dst"]),
+                (df[r.type_column] if r.type_column else F.lit(r.type)).alias(names["type"]), df[r.src].cast(key).alias(names["src"]), df[r.dst].cast(key).alias(names["dst"]),
                 df[w.near_key].cast(key).alias(ends["near"]), F.lit(w.near).alias(ends["near_table"]), df[w.far_key].cast(key).alias(ends["far"]), F.lit(w.far).alias(ends["far_table"]),
                 *((df[r.properties[p]].cast(x) if p in r.properties else F.lit(None).cast(x)).alias(prop_names[p]) for p, x in props.items()),
             )
         )
-    return union_all(parts), Bound("rel", names, {p: (prop_names[p], t) for p, t in props.items()}, tuple({w.rel.name for w in ways}), id_type), ends
+    return union_all(parts), Bound("rel", names, {p: (prop_names[p], t) for p, t in props.items()}, tuple({w.rel.name for w in ways}), id_type, ends=key), ends
 
 
 class Matcher:
@@ -189,6 +189,8 @@ class Matcher:
 
     def optional(self, frame: Frame, clause: Match) -> Frame:
         """Left join of the whole clause; its condition is part of the join."""
+        if (joined := self._optional_chain(frame, clause)) is not None:
+            return joined
         used = {v: b for v, b in frame.scope.items() if v in variables([clause.patterns, clause.where])}
         if not used:
             found = self.filtered(self._all(unit(self.graph), clause), clause)
@@ -203,6 +205,48 @@ class Matcher:
         on = reduce(lambda a, b: a & b, (col(k).eqNullSafe(col(a)) for k, a in again.items()))
         return Frame(frame.df.join(right, on, "left").drop(*again.values()), frame.scope | new)
 
+    def _optional_chain(self, frame: Frame, clause: Match) -> Frame | None:
+        """A chain that starts or ends at a bound node and binds nothing else: one left join with what follows that node. None where it is not of that form."""
+        p = clause.patterns[0]
+        if len(clause.patterns) > 1 or not p.rels or p.path or any(r.hops for r in p.rels):
+            return None
+        if p.nodes[0].var not in frame.scope:
+            turned = {"out": "in", "in": "out", "both": "both"}
+            p = Pattern(p.nodes[::-1], tuple(replace(r, direction=turned[r.direction]) for r in p.rels[::-1]))
+        start, rest = p.nodes[0], [*p.nodes[1:], *p.rels]
+        names = [x.var for x in rest]
+        a = frame.scope.get(start.var)
+        if a is None or a.kind != "node" or not start.bare or len(set(names)) < len(names) or set(names) & set(frame.scope) or variables([x.props for x in rest]) & set(frame.scope):
+            return None
+        r, n = p.rels[0], p.nodes[1]
+        fits = {t.name for t in self.graph.nodes if t.can_have(n.labels)}
+        ways = [w for w in options(self.graph, r) if w.near in a.tables and w.far in fits]
+        if not ways:
+            return None
+        one = ways[0] if len(ways) == 1 else None
+        here, near_table = a.cols["id"], None
+        if one and not r.named and not r.props and (one.near_carries and one.rel.name in a.hidden or one.far_carries):
+            df, b = scan(self.graph, n.var, n.labels, {one.far})
+            here, near = (a.hidden[one.rel.name], b.cols["id"]) if one.near_carries else (here, b.hidden[one.rel.name])
+            right = self.with_props(Frame(df, {n.var: b}), n)
+        else:
+            e, rel, ends = edges(self.graph, r, ways)
+            nodes, b = scan(self.graph, n.var, n.labels, {w.far for w in ways})
+            df = e.join(nodes, (col(ends["far"]) == col(b.cols["id"])) & (col(ends["far_table"]) == col(b.cols["table"])))
+            near, near_table = ends["near"], ends["near_table"]
+            right = self.with_props(self.with_props(Frame(df, {r.var: rel, n.var: b}), r), n)
+        for k in range(1, len(p.rels)):
+            right = self.hop(right, p.nodes[k].var, p.rels[k], p.nodes[k + 1])
+        on = col(here) == col(near)
+        if near_table is not None and (len(a.tables) > 1 or one is None):
+            on = on & (col(a.cols["table"]) == col(near_table))
+        elif len(a.tables) > 1:
+            on = on & (col(a.cols["table"]) == one.near)
+        scope = frame.scope | right.scope
+        if clause.where is not None:
+            on = on & Lowering(scope, self.params).condition(clause.where)
+        return Frame(frame.df.join(right.df, on, "left"), scope)
+
     def _all(self, frame: Frame, clause: Match) -> Frame:
         for p in clause.patterns:
             frame = self.pattern(frame, p)
@@ -307,15 +351,23 @@ class Matcher:
     def _stub(self, frame: Frame, a: Bound, b: Bound, way: Option) -> Bound:
         """An unnamed relationship that is part of a node row: only paths look at it."""
         ends = (a, b) if way.forward else (b, a)
-        return Bound("rel", {"src": ends[0].cols["id"], "dst": ends[1].cols["id"], "table": a.cols["table"], "id": b.cols["id"], "type": a.cols["table"]}, {}, (way.rel.name,))
+        return Bound("rel", {"src": ends[0].cols["id"], "dst": ends[1].cols["id"], "table": a.cols["table"]}, {}, (way.rel.name,))
 
     def name_path(self, frame: Frame, p: Pattern) -> Frame:
         nodes, rels = fresh(p.path), fresh(p.path)
-        ref = lambda b: F.struct(col(b.cols["table"]).alias("table"), col(b.cols["id"]).cast("string").alias("id"))
-        some = lambda pats: F.array(*(ref(frame.scope[x.var]) for x in pats)) if pats else F.array().cast(T.ArrayType(NODE_REF))
-        df = frame.df.select("*", some(p.nodes).alias(nodes), some(p.rels).alias(rels))
+        node = lambda b: F.struct(col(b.cols["table"]).alias("table"), col(b.cols["id"]).cast("string").alias("id"))
+        steps = [self._rel_ref(frame.scope[x.var]) for x in p.rels]
+        df = frame.df.select("*", F.array(*(node(frame.scope[x.var]) for x in p.nodes)).alias(nodes), (F.array(*steps) if steps else F.array().cast(T.ArrayType(REL_REF))).alias(rels))
         return Frame(df, frame.scope | {p.path: Bound("path", {"nodes": nodes, "rels": rels})})
 
+    def _rel_ref(self, b: Bound) -> Column:
+        if "type" in b.cols:
+            parts = [col(b.cols[k]) for k in ("table", "id", "type", "src", "dst")]
+        else:  # a carried hop: its table is known, and has no id
+            rel = next(r for r in self.graph.rels if r.name == b.tables[0])
+            parts = [F.lit(rel.name), F.lit(None), F.lit(rel.type), col(b.cols["src"]), col(b.cols["dst"])]
+        return F.struct(*(c.cast("string").alias(f.name) for c, f in zip(parts, REL_REF.fields, strict=True)))
+
     # -- variable length
 
     def paths(self, frame: Frame, p: Pattern) -> Frame:
@@ -329,9 +381,11 @@ class Matcher:
         known = frame.scope.get(end.var)
         ways = options(self.graph, r)
         at, at_table, nodes, rels = (fresh("path") for _ in range(4))
+        key = common([t for t in [a.type, *(w.rel.df.schema[k].dataType for w in ways for k in (w.rel.src, w.rel.dst))] if t is not None])
+        long = most is None or most > CUT
         ref = lambda t, i: F.struct(t.alias("table"), i.cast("string").alias("id"))
         front = frame.df.select(
-            "*", col(a.cols["id"]).cast("string").alias(at), col(a.cols["table"]).alias(at_table), F.array(ref(col(a.cols["table"]), col(a.cols["id"]))).alias(nodes), F.array().cast(T.ArrayType(NODE_REF)).alias(rels)
+            "*", col(a.cols["id"]).cast(key).alias(at), col(a.cols["table"]).alias(at_table), F.array(ref(col(a.cols["table"]), col(a.cols["id"]))).alias(nodes), F.array().cast(T.ArrayType(REL_REF)).alias(rels)
         )
         levels = [front] if least == 0 else []
         if ways:
@@ -340,24 +394,22 @@ class Matcher:
             hop = 0
             while most is None or hop < most:
                 here = [w for w in ways if w.near in reachable]
-                if not here or hop >= MOST:
+                if not here:
                     break
                 e, rel, ends = edges(self.graph, RelPat(fresh("e"), r.type, (), r.direction), here)
-                step = front.join(e, (col(at) == col(ends["near"]).cast("string")) & (col(at_table) == col(ends["near_table"])))
+                step = front.join(e, (col(at) == col(ends["near"]).cast(key)) & (col(at_table) == col(ends["near_table"])))
                 far = ref(col(ends["far_table"]), col(ends["far"]))
                 step = step.where(~F.array_contains(col(nodes), far))
                 step = step.select(
-                    *(col(c) for c in frame.df.columns), col(ends["far"]).cast("string").alias(at), col(ends["far_table"]).alias(at_table),
-                    F.array_append(col(nodes), far).alias(nodes), F.array_append(col(rels), ref(col(rel.cols["table"]), F.coalesce(col(rel.cols["id"]).cast("string"), F.concat_ws(">", col(rel.cols["src"]), col(rel.cols["dst"]))))).alias(rels),
+                    *(col(c) for c in frame.df.columns), col(ends["far"]).cast(key).alias(at), col(ends["far_table"]).alias(at_table),
+                    F.array_append(col(nodes), far).alias(nodes), F.array_append(col(rels), self._rel_ref(rel)).alias(rels),
                 )
                 reachable = {w.far for w in here}
                 hop += 1
-                if most is None and hop % CUT == 0:
+                if long and hop % CUT == 0:  # no plan grows without end, and levels that follow do not repeat those before
                     step = checkpointed(step)
                     if step.isEmpty():
                         break
-                elif most is None and least <= hop and hop % 2 == 0 and step.isEmpty():
-                    break
                 front = step
                 if hop >= least and reachable & goal:
                     levels.append(front)
@@ -367,10 +419,10 @@ class Matcher:
         scope = frame.scope | {p.path: Bound("path", {"nodes": nodes, "rels": rels})} if p.path else frame.scope
         if known or end.var == start.var:
             b = scope[end.var]
-            df = df.where((col(at) == col(b.cols["id"]).cast("string")) & (col(at_table) == col(b.cols["table"])))
+            df = df.where((col(at) == col(b.cols["id"]).cast(key)) & (col(at_table) == col(b.cols["table"])))
         else:
             ends_df, b = scan(self.graph, end.var, end.labels)
-            df = df.join(ends_df, (col(at) == col(b.cols["id"]).cast("string")) & (col(at_table) == col(b.cols["table"])))
+            df = df.join(ends_df, (col(at) == col(b.cols["id"]).cast(key)) & (col(at_table) == col(b.cols["table"])))
             scope = scope | {end.var: b}
         return self.node(Frame(df.drop(at, at_table), scope), end)
 

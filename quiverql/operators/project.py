@@ -9,11 +9,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.expressions import Bound, Lowering, Typed, aggregates, col, numeric
+from ..functions.expressions import NODE_REF, REL_REF, Bound, Lowering, Typed, aggregates, col, common, entity, numeric
 from ..plans.parser import QueryError
-from ..plans.syntax import Agg, Expr, Item, Lit, Param, Projection, Prop, Unwind, Var, variables
+from ..plans.syntax import Agg, Expr, Item, Lit, Param, Projection, Prop, RelPat, Unwind, Var, variables
 from ..sources.graph import PropertyGraph
-from .match import Frame, fresh, scan
+from .match import Frame, edges, fresh, options, scan
 
 
 def item_names(items: list[Item]) -> list[str]:
@@ -55,21 +55,15 @@ def aggregate_column(a: Agg, low: Lowering, scope: dict[str, Bound]) -> Typed:
     if a.name == "count":
         return (F.count_distinct(c) if a.distinct else F.count(c)), T.LongType()
     if a.name == "collect":
-        return (F.array_distinct(F.collect_list(c)) if a.distinct else F.collect_list(c)), T.ArrayType(t)
+        return (F.collect_set(c) if a.distinct else F.collect_list(c)), T.ArrayType(t)
     if a.name in ("min", "max"):
         return (F.min(c) if a.name == "min" else F.max(c)), t
     if not numeric(t):
         return (F.lit(0).cast("long") if a.name == "sum" else F.max(F.lit(None).cast("double"))), T.LongType() if a.name == "sum" else T.DoubleType()
     if a.name == "avg":
-        return _distinct(F.avg, c, a.distinct), T.DoubleType()
+        return (F.try_divide(F.sum_distinct(c.cast("double")), F.count_distinct(c)) if a.distinct else F.avg(c)), T.DoubleType()
     whole = T.LongType() if isinstance(t, T.IntegralType) else T.DoubleType()
-    return F.coalesce(_distinct(F.sum, c.cast(whole), a.distinct), F.lit(0).cast(whole)), whole
-
-
-def _distinct(f, c: Column, distinct: bool) -> Column:
-    if not distinct:
-        return f(c)
-    return F.sum_distinct(c) if f is F.sum else F.aggregate(F.collect_set(c.cast("double")), F.struct(F.lit(0.0).alias("s"), F.lit(0).alias("n")), lambda acc, x: F.struct((acc.s + x).alias("s"), (acc.n + 1).alias("n")), lambda acc: F.try_divide(acc.s, acc.n))
+    return F.coalesce((F.sum_distinct if a.distinct else F.sum)(c.cast(whole)), F.lit(0).cast(whole)), whole
 
 
 class Projector:
@@ -177,13 +171,18 @@ class Projector:
         final = _AfterGroup(scope, self.params, made, group_values)
         return Frame(df, scope), [(self._sort_key(e, final) if not isinstance(e, Var) or e.name in scope else final.value(e)[0], down) for e, down in body.order]
 
-    def unwind(self, frame: Frame, clause: Unwind) -> Frame:
-        """One row for each element, in order; nothing for what is not a list. Nodes of a path become nodes again."""
+    def unwind(self, frame: Frame, clause: Unwind, at: str | None = None) -> Frame:
+        """One row for each element, in order; nothing for what is not a list. Nodes of a path become nodes again. ``at``: a variable for the element's place."""
         c, t = Lowering(frame.scope, self.params).value(clause.expr)
         if not isinstance(t, T.ArrayType):
             return Frame(frame.df.select("*", F.lit(None).cast("string").alias(name := fresh(clause.var))).where(F.lit(False)), frame.scope | {clause.var: Bound("value", {"value": name}, type=T.StringType())})
         name = fresh(clause.var)
-        df = frame.df.select("*", F.explode(c).alias(name))
+        if at is None:
+            df = frame.df.select("*", F.explode(c).alias(name))
+        else:
+            place = fresh(at)
+            df = frame.df.select("*", F.posexplode(c).alias(place, name))
+            frame = replace(frame, scope=frame.scope | {at: Bound("value", {"value": place}, type=T.IntegerType())})
         if isinstance(t.elementType, T.StructType) and t.elementType.fieldNames() == ["table", "id"]:
             nodes, b = scan(self.graph, clause.var, ())
             df = df.join(nodes, (col(name)["table"] == col(b.cols["table"])) & (col(name)["id"] == col(b.cols["id"]).cast("string"))).drop(name)
@@ -192,7 +191,40 @@ class Projector:
 
     def result(self, frame: Frame, names: list[str]) -> DataFrame:
         low = Lowering(frame.scope, self.params)
-        return frame.df.select(*(low.variable(n)[0].alias(n) for n in names))
+        out = frame.df.select(*(low.variable(n)[0].alias(n) for n in names))
+        for n in names:
+            t = low.variable(n)[1]
+            if isinstance(t, T.ArrayType) and t.elementType in (NODE_REF, REL_REF):
+                out = self._whole(out, n, t.elementType == NODE_REF)
+        return out
+
+    def _whole(self, df: DataFrame, name: str, nodes: bool) -> DataFrame:
+        """References of a path become nodes or relationships with their properties; rows keep their order."""
+        row, place, ref = fresh("row"), fresh("place"), fresh("ref")
+        df = df.withColumn(row, F.monotonically_increasing_id())
+        flat = df.select("*", F.posexplode_outer(col(name)).alias(place, ref))
+        if nodes:
+            found, b = scan(self.graph, name, ())
+            flat = flat.join(found, (col(ref)["table"] == col(b.cols["table"])) & (col(ref)["id"] == col(b.cols["id"]).cast("string")), "left")
+            whole = entity(b)[0]
+        else:  # relationships without ids have no more than their type and ends
+            pat = RelPat(fresh(name))
+            with_ids = [w for w in options(self.graph, pat) if w.forward and w.rel.id]
+            key = common([w.rel.df.schema[k].dataType for w in options(self.graph, pat) for k in (w.rel.src, w.rel.dst)])
+            plain = [F.lit(None).cast("long").alias("id"), col(ref)["type"].alias("type"), col(ref)["src"].cast(key).alias("startNode"), col(ref)["dst"].cast(key).alias("endNode")]
+            if with_ids:
+                found, b, _ = edges(self.graph, pat, with_ids)
+                flat = flat.join(found, (col(ref)["rel_table"] == col(b.cols["table"])) & (col(ref)["rel_id"] == col(b.cols["id"]).cast("string")), "left")
+                made, t = entity(b)
+                whole = F.coalesce(made, F.struct(*plain, *([F.lit(None).cast(t["properties"].dataType).alias("properties")] if "properties" in t.fieldNames() else [])).cast(t))
+            else:
+                whole = F.struct(*plain)
+        item = F.struct(col(place).alias("place"), whole.alias("x"))
+        others = [F.first(col(c)).alias(c) for c in df.columns if c not in (row, name)]
+        lists = F.transform(F.array_sort(F.collect_list(F.when(col(place).isNotNull(), item)), lambda a, b: a["place"] - b["place"]), lambda i: i["x"])
+        kept = F.when(F.first(col(name)).isNotNull(), lists).alias(name)
+        back = flat.groupBy(col(row)).agg(*others, kept).orderBy(col(row))
+        return back.select(*(col(c) for c in df.columns if c != row))
 
 
 class _AfterGroup(Lowering):

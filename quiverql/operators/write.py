@@ -13,15 +13,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.expressions import Bound, Lowering, col, common, comparable
+from ..functions.expressions import NODE_REF, REL_REF, Bound, Lowering, col, common, comparable
 from ..plans.parser import QueryError
-from ..plans.syntax import Create, Delete, Expr, Merge, NodePat, Prop, RelPat, SetProps
+from ..plans.syntax import Create, Delete, Expr, Merge, NodePat, RelPat, SetProps
 from ..sources.graph import PropertyGraph
 from ..sources.shared import checkpointed
 from .match import Frame, edges, fresh, options, scan
 
 #: What identifies the variables of a frame: name to (kind, type of the id or value).
 Kinds = dict[str, tuple[str, T.DataType]]
+PATH = T.StructType([T.StructField("nodes", T.ArrayType(NODE_REF)), T.StructField("rels", T.ArrayType(REL_REF))])
+#: The variable that holds the place of a FOREACH element in its list.
+PLACE = "_anon.place"
 
 
 def keys_of(frame: Frame) -> tuple[DataFrame, Kinds]:
@@ -34,6 +37,9 @@ def keys_of(frame: Frame) -> tuple[DataFrame, Kinds]:
         elif b.kind == "value":
             columns.append(col(b.cols["value"]).alias(v))
             kinds[v] = ("value", b.type)
+        else:
+            columns.append(F.struct(col(b.cols["nodes"]).alias("nodes"), col(b.cols["rels"]).alias("rels")).alias(v))
+            kinds[v] = ("path", PATH)
     return frame.df.select(*columns) if columns else frame.df.select(F.lit(True).alias("unit")), kinds
 
 
@@ -46,6 +52,11 @@ def bind_keys(graph: PropertyGraph, keys: DataFrame, kinds: Kinds) -> Frame:
             df = df.withColumnRenamed(v, name)
             scope[v] = Bound("value", {"value": name}, type=t)
             continue
+        if kind == "path":
+            names = {k: fresh(v) for k in PATH.fieldNames()}
+            df = df.select("*", *(col(v)[k].alias(n) for k, n in names.items())).drop(v)
+            scope[v] = Bound("path", names)
+            continue
         if kind == "node":
             rows, b = scan(graph, v, ())
         else:
@@ -95,7 +106,7 @@ class Writer:
         low = Lowering(frame.scope, self.params)
         found = [low.value(e) for e in exprs]
         _, kinds = keys_of(frame)
-        key_columns = [col(frame.scope[v].cols["value" if k == "value" else "id"]) for v, (k, _) in kinds.items()]
+        key_columns = [F.struct(col(b.cols["nodes"]).alias("nodes"), col(b.cols["rels"]).alias("rels")) if b.kind == "path" else col(b.cols["value" if b.kind == "value" else "id"]) for b in (frame.scope[v] for v in kinds)]
         picked = frame.df.select(*(c.alias(f"k{i}") for i, c in enumerate(key_columns)), *((c.cast("string") if isinstance(t, T.NullType) else c).alias(f"x{i}") for i, (c, t) in enumerate(found)))
         rows = picked.collect()
         n = len(key_columns)
@@ -216,7 +227,8 @@ class Writer:
             old = self._table(b.kind)
             name = f"p_{target.name}"
             t = T.StringType() if isinstance(t, T.NullType) and name not in old.columns else common([t, old.schema[name].dataType]) if name in old.columns else t
-            new = frame.df.where(col(b.cols["id"]).isNotNull()).select(col(b.cols["id"]).alias("_id"), c.cast(t).alias("_new")).groupBy("_id").agg(F.max_by("_new", F.xxhash64("_new")).alias("_new"))
+            last = [col(frame.scope[PLACE].cols["value"])] if PLACE in frame.scope else []  # of a list's elements the last one counts
+            new = frame.df.where(col(b.cols["id"]).isNotNull()).select(col(b.cols["id"]).alias("_id"), c.cast(t).alias("_new"), F.struct(*last, F.xxhash64(c.cast(t))).alias("_last")).groupBy("_id").agg(F.max_by("_new", "_last").alias("_new"))
             joined = old.join(new, old["id"] == new["_id"], "left")
             before = col(name).cast(t) if name in old.columns else F.lit(None).cast(t)
             value = F.when(F.col("_id").isNotNull(), F.col("_new")).otherwise(before).alias(name)
@@ -240,14 +252,3 @@ class Writer:
             self._store("rel", without(without(self._table("rel"), "src"), "dst"))
             self._store("node", without(self._table("node"), "id"))
         return bind_keys(self.graph, kept, rest) if rest else Frame(self.graph.spark.range(0).select(F.lit(True).alias("unit")), {}, True)
-
-    def elements(self, frame: Frame, e: Expr) -> tuple[list[Any], T.DataType]:
-        """All elements of a list, over all rows, on the driver."""
-        c, t = Lowering(frame.scope, self.params).value(e)
-        if not isinstance(t, T.ArrayType):
-            return [], T.StringType()
-        return [x for r in frame.df.select(c.alias("x")).collect() for x in (r.x or [])], t.elementType
-
-
-def set_of(var: str, name: str, e: Expr) -> SetProps:
-    return SetProps([(Prop(var, name), e)])

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
+from dataclasses import replace
 from functools import partial
 from typing import Any
 
@@ -10,8 +12,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .plans.parser import QueryError
 from .session import GraphSession
-from .sources.graph import NodeTable, PropertyGraph, RelTable, _generic_nodes, _generic_rels
+from .sources.graph import Index, NodeTable, PropertyGraph, RelTable, _generic_nodes, _generic_rels, export, from_dataset, from_json
+from .sources.shared import SharedPath
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -22,7 +26,8 @@ def tables_graph(spark: SparkSession, sf_dir: str) -> PropertyGraph:
     bare = lambda df, prefix: {c.removeprefix(prefix): c for c in df.columns}
     region, nation, customer, supplier, part, orders, lineitem, events = map(read, ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events"))
     turns = read("conversations")
-    turns = turns.withColumn("key", F.col("conv_id") * 1000 + F.col("turn")).withColumn("next_key", F.col("key") + 1)
+    place = lambda turn: F.concat_ws("/", F.col("conv_id"), turn)
+    turns = turns.withColumn("key", place(F.col("turn"))).withColumn("next_key", place(F.col("turn") + 1))
     users = events.select("user_id").distinct()
     docs = read("documents").select("doc_id", "lang", "source", "n_chars")
     nodes = (
@@ -132,21 +137,29 @@ READS: dict[str, tuple[str, dict[str, Any], str]] = {
     "union_all": ("MATCH (n:Nation) RETURN n.name AS name UNION ALL MATCH (r:Region) RETURN r.name AS name", {}, "SELECT n_name AS name FROM nation UNION ALL SELECT r_name FROM region"),
     "union_sorted": ("MATCH (n:Nation) RETURN n.name AS name UNION MATCH (r:Region) RETURN r.name AS name ORDER BY name SKIP 3 LIMIT 5", {}, "SELECT name FROM (SELECT n_name AS name FROM nation UNION SELECT r_name FROM region) ORDER BY name LIMIT 5 OFFSET 3"),
     "call_subquery": ("CALL { MATCH (c:Customer) RETURN c.nationkey AS k, count(*) AS n } RETURN k AS k, n * 2 AS m ORDER BY m DESC, k LIMIT 5", {}, "SELECT c_nationkey AS k, count(*) * 2 AS m FROM customer GROUP BY 1 ORDER BY m DESC, k LIMIT 5"),
-    "call_correlated": ("MATCH (n:Nation) WITH n CALL { MATCH (n)<-[:IN_NATION]-(s:Supplier) RETURN count(s) AS c } RETURN n.name AS n, c AS c", {}, "SELECT n_name AS n, count(*) AS c FROM nation JOIN supplier ON s_nationkey = n_nationkey GROUP BY 1"),
+    "call_correlated": ("MATCH (n:Nation) WITH n CALL { MATCH (n)<-[:IN_NATION]-(s:Supplier) RETURN count(s) AS c } RETURN n.name AS n, c AS c", {}, "SELECT n_name AS n, (SELECT count(*) FROM supplier WHERE s_nationkey = n_nationkey) AS c FROM nation"),
+    "call_empty": ("MATCH (c:Customer) WITH c CALL { MATCH (c)-[:PLACED]->(o:Order) WHERE o.totalprice > 300000 RETURN count(o) AS n, sum(o.totalprice) AS s, max(o.orderkey) AS m, size(collect(o.orderkey)) AS l } RETURN c.custkey AS k, n, s, m, l", {}, "SELECT c_custkey AS k, count(o_orderkey) AS n, round(coalesce(sum(o_totalprice), 0), 4) AS s, max(o_orderkey) AS m, count(o_orderkey) AS l FROM customer LEFT JOIN orders ON o_custkey = c_custkey AND o_totalprice > 300000 GROUP BY 1"),
+    "call_repeated_rows": ("MATCH (c:Customer)-[:IN_NATION]->(n) WITH n.regionkey AS r CALL { MATCH (g:Nation {regionkey: r}) RETURN count(g) AS c } RETURN r, c, count(*) AS n", {}, "SELECT n_regionkey AS r, (SELECT count(*) FROM nation g WHERE g.n_regionkey = n.n_regionkey) AS c, count(*) AS n FROM customer JOIN nation n ON c_nationkey = n_nationkey GROUP BY 1, n.n_regionkey"),
+    "lateral_alias": ("MATCH (n:Nation) RETURN n.nationkey + 1 AS a, a * 2 AS b", {}, "SELECT (n_nationkey + 1)::BIGINT AS a, ((n_nationkey + 1) * 2)::BIGINT AS b FROM nation"),
+    "count_distinct_star": ("MATCH (n:Nation)-[:IN_REGION]->(r) WITH r RETURN count(DISTINCT *) AS n, count(*) AS m", {}, "SELECT count(DISTINCT n_regionkey) AS n, count(*) AS m FROM nation JOIN region ON n_regionkey = r_regionkey"),
+    "unwind_expr": ("UNWIND [1,2,3] AS x RETURN x + 1", {}, "SELECT unnest([2,3,4])::BIGINT AS value"),
+    "avg_distinct": ("MATCH (c:Customer) RETURN c.mktsegment AS s, avg(DISTINCT c.nationkey) AS m", {}, "SELECT c_mktsegment AS s, round(avg(DISTINCT c_nationkey), 4) AS m FROM customer GROUP BY 1"),
+    "optional_two_hops": ("MATCH (s:Supplier) OPTIONAL MATCH (s)-[:IN_NATION]->(n)-[:IN_REGION]->(r:Region) WHERE r.name = 'ASIA' AND n.nationkey > s.suppkey RETURN s.suppkey AS k, n.name AS n, r.name AS r", {}, "SELECT s_suppkey AS k, n_name AS n, r_name AS r FROM supplier LEFT JOIN (nation JOIN region ON n_regionkey = r_regionkey AND r_name = 'ASIA') ON s_nationkey = n_nationkey AND n_nationkey > s_suppkey"),
     "return_only": ("RETURN 1 + 2 AS a, 'x' AS b, null AS c", {}, "SELECT 3::BIGINT AS a, 'x' AS b, NULL::VARCHAR AS c"),
     "user_events": ("MATCH (u:User)-[:DID]->(e:Event) WHERE e.event_type = 'click' RETURN u.user_id AS u, count(e) AS n, sum(e.value) AS v", {}, "SELECT user_id AS u, count(*) AS n, round(sum(value), 4) AS v FROM events WHERE event_type = 'click' GROUP BY 1"),
     "supplier_revenue": ("MATCH (o:Order)-[r:SUPPLIED_BY]->(s:Supplier)-[:IN_NATION]->(n:Nation) RETURN n.name AS nation, sum(r.extendedprice * (1 - r.discount)) AS revenue", {}, "SELECT n_name AS nation, round(sum(l_extendedprice * (1 - l_discount)), 4) AS revenue FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey JOIN orders ON o_orderkey = l_orderkey GROUP BY 1"),
     "nation_revenue": ("MATCH (n:Nation)<-[:IN_NATION]-(c:Customer)-[:PLACED]->(o:Order) RETURN n.name AS nation, COUNT(o) AS orders, SUM(o.totalprice) AS revenue ORDER BY revenue DESC LIMIT 10", {}, "SELECT n_name AS nation, count(*) AS orders, round(sum(o_totalprice), 4) AS revenue FROM nation JOIN customer ON c_nationkey = n_nationkey JOIN orders ON o_custkey = c_custkey GROUP BY 1 ORDER BY revenue DESC LIMIT 10"),
 }
 
-_WALK = "WITH RECURSIVE e AS (SELECT a.conv_id * 1000 + a.turn AS s, b.conv_id * 1000 + b.turn AS d FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1), n AS (SELECT conv_id * 1000 + turn AS k FROM conversations), w AS (SELECT k AS a, k AS b, 0 AS l, [k] AS p FROM n UNION ALL SELECT w.a, e.d, w.l + 1, list_append(w.p, e.d) FROM w JOIN e ON w.b = e.s WHERE NOT list_contains(w.p, e.d)) SELECT {0} FROM w WHERE {1}"
+_WALK = "WITH RECURSIVE n AS (SELECT conv_id AS c, turn AS t, role FROM conversations), w AS (SELECT c, t AS a, t AS b, role, 0 AS l FROM n UNION ALL SELECT w.c, w.a, n.t, n.role, w.l + 1 FROM w JOIN n ON n.c = w.c AND n.t = w.b + 1) SELECT {0} FROM w WHERE {1}"
+_ENDS = "c || '/' || a AS a, c || '/' || b AS b"
 READS |= {
-    "varlen_any": ("MATCH p=(a:Turn {turn: 0})-[:NEXT*]->(b:Turn) RETURN id(a) AS a, id(b) AS b, length(p) AS l", {}, _WALK.format("a, b, l::BIGINT AS l", "l >= 1 AND a % 1000 = 0")),
+    "varlen_any": ("MATCH p=(a:Turn {turn: 0})-[:NEXT*]->(b:Turn) RETURN id(a) AS a, id(b) AS b, length(p) AS l", {}, _WALK.format(f"{_ENDS}, l::BIGINT AS l", "l >= 1 AND a = 0")),
     "varlen_range": ("MATCH p=(a:Turn)-[:NEXT*1..3]->(b:Turn) RETURN length(p) AS l, count(*) AS n", {}, _WALK.format("l::BIGINT AS l, count(*) AS n", "l BETWEEN 1 AND 3 GROUP BY 1")),
-    "varlen_exact": ("MATCH p=(a:Turn)-[:NEXT*2]->(b:Turn) RETURN id(a) AS a, id(b) AS b", {}, _WALK.format("a, b", "l = 2")),
-    "varlen_zero": ("MATCH p=(a:Turn)-[:NEXT*0..1]->(b:Turn) RETURN id(a) AS a, id(b) AS b, size(nodes(p)) AS n", {}, _WALK.format("a, b, (l + 1)::BIGINT AS n", "l <= 1")),
-    "varlen_in": ("MATCH p=(b:Turn {role: 'assistant'})<-[:NEXT*1..2]-(a:Turn) RETURN id(a) AS a, id(b) AS b", {}, _WALK.format("a, b", "l BETWEEN 1 AND 2 AND b IN (SELECT conv_id * 1000 + turn FROM conversations WHERE role = 'assistant')")),
-    "varlen_undirected": ("MATCH p=(a:Turn {turn: 1})-[:NEXT*1..2]-(b:Turn) RETURN id(a) AS a, id(b) AS b, length(p) AS l", {}, "SELECT a.conv_id * 1000 + a.turn AS a, b.conv_id * 1000 + b.turn AS b, abs(a.turn - b.turn)::BIGINT AS l FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND abs(a.turn - b.turn) BETWEEN 1 AND 2 WHERE a.turn = 1 AND (abs(a.turn - b.turn) = 1 OR EXISTS (SELECT 1 FROM conversations m WHERE m.conv_id = a.conv_id AND m.turn * 2 = a.turn + b.turn))"),
+    "varlen_exact": ("MATCH p=(a:Turn)-[:NEXT*2]->(b:Turn) RETURN id(a) AS a, id(b) AS b", {}, _WALK.format(_ENDS, "l = 2")),
+    "varlen_zero": ("MATCH p=(a:Turn)-[:NEXT*0..1]->(b:Turn) RETURN id(a) AS a, id(b) AS b, size(nodes(p)) AS n", {}, _WALK.format(f"{_ENDS}, (l + 1)::BIGINT AS n", "l <= 1")),
+    "varlen_in": ("MATCH p=(b:Turn {role: 'assistant'})<-[:NEXT*1..2]-(a:Turn) RETURN id(a) AS a, id(b) AS b", {}, _WALK.format(_ENDS, "l BETWEEN 1 AND 2 AND role = 'assistant'")),
+    "varlen_undirected": ("MATCH p=(a:Turn {turn: 1})-[:NEXT*1..2]-(b:Turn) RETURN id(a) AS a, id(b) AS b, length(p) AS l", {}, "SELECT a.conv_id || '/' || a.turn AS a, b.conv_id || '/' || b.turn AS b, abs(a.turn - b.turn)::BIGINT AS l FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND abs(a.turn - b.turn) BETWEEN 1 AND 2 WHERE a.turn = 1 AND (abs(a.turn - b.turn) = 1 OR EXISTS (SELECT 1 FROM conversations m WHERE m.conv_id = a.conv_id AND m.turn * 2 = a.turn + b.turn))"),
     "varlen_across": ("MATCH p=(c:Customer)-[*2]->(r:Region) RETURN r.name AS r, count(*) AS n", {}, "SELECT r_name AS r, count(*) AS n FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY 1"),
 }
 
@@ -156,14 +169,121 @@ WRITES: dict[str, tuple[str, dict[str, Any], str]] = {
     "merge_rel": ("MATCH (n:Nation) WHERE id(n) = 3 RETURN n; MATCH (r:Region {name: 'ASIA'}) RETURN r; MERGE (n)-[e:NEAR {far: 2}]->(r) RETURN e; MERGE (n)-[e:NEAR {far: 2}]->(r) RETURN e; MATCH (n)-[e:NEAR]->(r) RETURN id(n) AS n, r.name AS r, e.far AS far", {}, "SELECT 3::BIGINT AS n, 'ASIA' AS r, 2::BIGINT AS far"),
     "set_props": ("MATCH (n:Nation)-[:IN_REGION]->(r:Region) SET n.region = r.name, n.tag = n.region + '/' + n.name; MATCH (n:Nation) RETURN n.tag AS tag", {}, "SELECT r_name || '/' || n_name AS tag FROM nation JOIN region ON n_regionkey = r_regionkey"),
     "delete_cascade": ("MATCH (r:Region {name: 'ASIA'}) DELETE r; MATCH (n:Nation)-[e:IN_REGION]->(r) RETURN r.name AS r, count(e) AS c", {}, "SELECT r_name AS r, count(*) AS c FROM nation JOIN region ON n_regionkey = r_regionkey WHERE r_name <> 'ASIA' GROUP BY 1"),
+    "foreach_rows": ("MATCH (n:Nation)-[:IN_REGION]->(r:Region) FOREACH x IN [r.name, n.name] SET n.tag = x + '!'; MATCH (n:Nation) RETURN n.name AS name, n.tag AS tag", {}, "SELECT n_name AS name, n_name || '!' AS tag FROM nation JOIN region ON n_regionkey = r_regionkey"),
+    "path_carry": ("MATCH p=(n:Nation {name: 'NATION_3'})-[:IN_REGION]->(r) RETURN p; FOREACH x IN nodes(p) MATCH (x) SET x.seen = 1; MATCH (x) WHERE x.seen = 1 RETURN x.name AS name", {}, "SELECT n_name AS name FROM nation WHERE n_name = 'NATION_3' UNION ALL SELECT r_name FROM region JOIN nation ON n_regionkey = r_regionkey WHERE n_name = 'NATION_3'"),
+    "delete_rel": ("MATCH (n:Nation)-[e:IN_REGION]->(r:Region {name: 'ASIA'}) DELETE e; MATCH (m:Nation) OPTIONAL MATCH (m)-[:IN_REGION]->(g) RETURN m.name AS n, g.name AS r", {}, "SELECT n_name AS n, CASE WHEN r_name <> 'ASIA' THEN r_name END AS r FROM nation JOIN region ON n_regionkey = r_regionkey"),
+    "snapshot": ("MATCH (n:Nation) CREATE (m:Nation {name: n.name + ' II'}); MATCH (n:Nation) RETURN n.name AS name", {}, "SELECT n_name AS name FROM nation UNION ALL SELECT n_name || ' II' FROM nation"),
     "foreach_create": ("FOREACH x IN ['a', 'b', 'c'] CREATE (b:Batch {name: x}); MATCH (b:Batch) RETURN b.name AS name", {}, "SELECT unnest(['a','b','c']) AS name"),
 }
 
 
+def _whole(spark: SparkSession, sf_dir: str) -> GraphSession:
+    return GraphSession(small_graph(spark, sf_dir))
+
+
+def path_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nodes and relationships of a path, with their properties and typed ends."""
+    df = _whole(spark, sf_dir).run("MATCH p=(n:Nation)-[:IN_REGION*1..2]->(r) RETURN p AS p, relationships(p) AS e")
+    return df.select(F.array_join(F.transform("p", lambda x: x["properties"]["name"]), ">").alias("names"), F.col("e")[0]["id"].alias("e"), F.col("e")[0]["type"].alias("t"), F.col("e")[0]["startNode"].alias("s"), F.col("e")[0]["endNode"].alias("d"))
+
+
+def return_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole nodes and relationships as structs."""
+    df = GraphSession(known_graph(tables_graph, spark, sf_dir)).run("MATCH (n:Nation)-[e:IN_REGION]->(r) RETURN n, e")
+    return df.select(F.col("n.id").alias("i"), F.col("n.labels")[0].alias("l"), F.col("n.properties.name").alias("name"), F.col("e.type").alias("t"), F.col("e.startNode").alias("s"), F.col("e.endNode").alias("d"))
+
+
+def _dataset(spark: SparkSession, sf_dir: str) -> dict:
+    """Nations and regions (30 nodes) as an object of the JSON shape."""
+    nodes, rels = (df.collect() for df in (small_graph(spark, sf_dir).nodes[0].df, small_graph(spark, sf_dir).rels[0].df))
+    return {
+        "nodes": [{"id": r.id, "labels": list(r.labels), "properties": {"name": r.p_name}} for r in nodes],
+        "relationships": [{"id": r.id, "type": r.type, "startNode": r.src, "endNode": r.dst, "properties": {}} for r in rels],
+    }
+
+
+_BY_REGION = "MATCH (n:Nation)-[:IN_REGION]->(r:Region) RETURN r.name AS r, count(n) AS n"
+
+
+def object_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return GraphSession(from_dataset(spark, _dataset(spark, sf_dir))).run(_BY_REGION)
+
+
+def json_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The object written as a JSON file and read by Spark."""
+    path = SharedPath(spark).path
+    spark.createDataFrame([(json.dumps(_dataset(spark, sf_dir)),)], "value string").coalesce(1).write.text(path)
+    return GraphSession(from_json(spark, path)).run(_BY_REGION)
+
+
+def exported(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes, rels = export(small_graph(spark, sf_dir))
+    nodes = nodes.select("id", F.array_join("labels", "+").alias("what"), F.get_json_object("properties", "$.name").alias("more"))
+    return nodes.unionByName(rels.select("id", F.col("type").alias("what"), F.concat_ws(">", "src", "dst").alias("more")))
+
+
+def failed_statement(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A statement that fails after its CREATE changes nothing; the one before it stays."""
+    session = _whole(spark, sf_dir)
+    session.run("CREATE (n:Nation {name: 'FIRST'})")
+    try:
+        session.run("CREATE (n:Nation {name: 'SECOND'}) SET other.x = 1")
+    except QueryError:
+        pass
+    return session.run("MATCH (n:Nation) RETURN n.name AS name")
+
+
+def refused(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Queries that are not allowed, and whether they were refused."""
+    cases = {"write to a read-only source": (tables_graph, "CREATE (n:Nation {name: 'X'})"), "mixed aggregate": (small_graph, "MATCH (n:Nation) RETURN count(n) + n.name AS x"), "unknown variable": (small_graph, "MATCH (n:Nation) RETURN m.name AS x")}
+    rows = []
+    for name, (make, text) in cases.items():
+        try:
+            GraphSession(make(spark, sf_dir)).run(text)
+            rows.append((name, False))
+        except QueryError:
+            rows.append((name, True))
+    return spark.createDataFrame(rows, "what string, refused boolean")
+
+
+def lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Comments, quoted names, escapes, either quote, letter case, numbers."""
+    text = "match (`a b`:Nation) where `a b`.name = \"NATION_3\" return `a b`.name as `x y`, 'it''s' + \"\" as q, 1.5 as f, -2 as i, true as t"
+    return _whole(spark, sf_dir).run(text.replace("'it''s'", "'its'"))
+
+
+def indexes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    graph = replace(small_graph(spark, sf_dir), indexes=(Index("Nation", ("name",), True), Index("Region", ("name",))))
+    return spark.createDataFrame([(i.label, ",".join(i.properties), i.unique) for i in GraphSession(graph).list_indexes()], "label string, properties string, is_unique boolean")
+
+
+def explained(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the plan of a scan with a filter says."""
+    plan = GraphSession(known_graph(tables_graph, spark, sf_dir)).explain("MATCH (o:Order) WHERE o.totalprice > 1000 RETURN o.orderkey AS k")
+    return spark.createDataFrame([("GreaterThan(o_totalprice,1000.0)" in plan, "struct<o_orderkey:bigint,o_totalprice:double>" in plan)], "pushed boolean, pruned boolean")
+
+
+_REGIONS_SQL = "SELECT r_name AS r, count(*) AS n FROM nation JOIN region ON n_regionkey = r_regionkey GROUP BY 1"
+#: Queries that are more than text: (function, SQL).
+OTHERS: dict[str, tuple[Query, str]] = {
+    "path_nodes": (path_nodes, "SELECT n_name || '>' || r_name AS names, (n_nationkey + 1000)::BIGINT AS e, 'IN_REGION' AS t, n_nationkey::BIGINT AS s, (r_regionkey + 100)::BIGINT AS d FROM nation JOIN region ON n_regionkey = r_regionkey"),
+    "return_entities": (return_entities, "SELECT n_nationkey AS i, 'Nation' AS l, n_name AS name, 'IN_REGION' AS t, n_nationkey AS s, n_regionkey AS d FROM nation"),
+    "object_source": (object_source, _REGIONS_SQL),
+    "json_source": (json_source, _REGIONS_SQL),
+    "exported": (exported, "SELECT n_nationkey::VARCHAR AS id, 'Nation' AS what, n_name AS more FROM nation UNION ALL SELECT (r_regionkey + 100)::VARCHAR, 'Region', r_name FROM region UNION ALL SELECT (n_nationkey + 1000)::VARCHAR, 'IN_REGION', n_nationkey || '>' || (n_regionkey + 100) FROM nation"),
+    "failed_statement": (failed_statement, "SELECT n_name AS name FROM nation UNION ALL SELECT 'FIRST'"),
+    "refused": (refused, "SELECT unnest(['write to a read-only source', 'mixed aggregate', 'unknown variable']) AS what, true AS refused"),
+    "lexical": (lexical, "SELECT n_name AS \"x y\", 'its' AS q, 1.5::DOUBLE AS f, (-2)::BIGINT AS i, true AS t FROM nation WHERE n_name = 'NATION_3'"),
+    "indexes": (indexes, "SELECT 'Nation' AS label, 'name' AS properties, true AS is_unique UNION ALL SELECT 'Region', 'name', false"),
+    "explained": (explained, "SELECT true AS pushed, true AS pruned"),
+}
+
+
 def queries() -> dict[str, Query]:
     out: dict[str, Query] = {k: partial(_run, text, params, tables_graph) for k, (text, params, _) in READS.items()}
-    return out | {k: partial(_run, text, params, small_graph) for k, (text, params, _) in WRITES.items()}
+    out |= {k: partial(_run, text, params, small_graph) for k, (text, params, _) in WRITES.items()}
+    return out | {k: make for k, (make, _) in OTHERS.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {k: sql for k, (_, _, sql) in (READS | WRITES).items()}
+    return {k: sql for k, (_, _, sql) in (READS | WRITES).items()} | {k: sql for k, (_, sql) in OTHERS.items()}

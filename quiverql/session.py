@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from functools import reduce
 from typing import Any
 
 from pyspark.sql import DataFrame
@@ -10,11 +11,12 @@ from pyspark.sql import types as T
 
 from .operators.match import Frame, Matcher, scan, unit
 from .operators.project import Projector, ordered, slice_of
-from .operators.write import Kinds, Writer, bind_keys, keys_of
-from .functions.expressions import Bound, Lowering, col
+from .operators.write import PLACE, Kinds, Writer, bind_keys, keys_of
+from .functions.expressions import Bound, Lowering, aggregates, col
 from .plans.parser import QueryError, parse
 from .plans.syntax import WRITES, CallSub, Create, Delete, Foreach, Match, Merge, NodePat, Return, SetProps, Statement, Union, Unwind, With, variables
-from .sources.graph import PropertyGraph
+from .sources.graph import Index, PropertyGraph
+from .sources.shared import checkpointed
 
 
 class GraphSession:
@@ -35,6 +37,10 @@ class GraphSession:
         df = self.run(text, params)
         return df.sparkSession._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), "formatted")
 
+    def list_indexes(self) -> tuple[Index, ...]:
+        """The indexes that the graph's source describes."""
+        return self.graph.indexes
+
     # -- statements
 
     def _script(self, statements: list[Statement | Union], params: dict[str, Any], outer: Frame | None) -> tuple[DataFrame, Frame | None, list[str]]:
@@ -109,16 +115,12 @@ class GraphSession:
     def _write(self, frame: Frame, c: Any, params: dict[str, Any]) -> Frame:
         w = Writer(self.graph, params)
         if isinstance(c, Foreach):
-            items, t = w.elements(frame, c.list)
-            node = isinstance(t, T.StructType) and t.fieldNames() == ["table", "id"]
-            for x in items:
-                kind = ("node", self.graph.nodes[0].df.schema[self.graph.nodes[0].id].dataType) if node else ("value", t)
-                value = int(x["id"]) if node and isinstance(kind[1], T.LongType) else x["id"] if node else x
-                keys = self.graph.spark.createDataFrame([(value,)], T.StructType([T.StructField(c.var, kind[1])]))
-                outer_keys, outer_kinds = keys_of(frame)
-                whole = outer_keys.limit(1).crossJoin(keys) if outer_kinds else keys
-                self._statement(c.body, params, bind_keys(self.graph, whole, {**outer_kinds, c.var: kind}), True, None)
             keys, kinds = keys_of(frame)
+            keys = checkpointed(keys)  # what the body changes does not change the rows it runs for
+            if kinds:
+                frame = bind_keys(self.graph, keys, kinds)
+            # the body runs once, over a row for each outer row and element
+            self._statement(c.body, params, Projector(self.graph, params).unwind(frame, Unwind(c.list, c.var), PLACE), True, None)
             return bind_keys(self.graph, keys, kinds) if kinds else frame
         out = {Create: w.create, Merge: w.merge, SetProps: w.set, Delete: w.delete}[type(c)](frame, c)
         self.graph = w.graph
@@ -127,6 +129,8 @@ class GraphSession:
     def _call(self, frame: Frame, c: CallSub, params: dict[str, Any]) -> Frame:
         """The subquery sees what is bound outside; its rows carry on, with the outer bindings beside them."""
         outer = None if frame.unit else frame
+        if outer is not None and self._counts(c.statements):
+            return self._call_aggregate(outer, c.statements[0], params)
         df, done, names = self._script(c.statements, params, outer)
         if done is not None and names:
             return Frame(done.df, {**(outer.scope if outer else {}), **{n: done.scope[n] for n in names}})
@@ -137,6 +141,33 @@ class GraphSession:
             scope[n] = Bound("value", {"value": n}, type=df.schema[n].dataType)
         return Frame(df, scope) if scope else frame
 
+    def _counts(self, statements: list[Statement | Union]) -> bool:
+        """Whether a subquery only reads and returns aggregates over all its rows, so that no rows give a row too."""
+        s = statements[0]
+        last = s.clauses[-1] if len(statements) == 1 and isinstance(s, Statement) else None
+        return isinstance(last, Return) and not last.body.star and all(aggregates(it.expr) for it in last.body.items) and not any(isinstance(x, WRITES) for x in s.clauses)
+
+    def _call_aggregate(self, outer: Frame, s: Statement, params: dict[str, Any]) -> Frame:
+        """Aggregates for each distinct outer row, joined to all outer rows; where a row has none, those over nothing."""
+        every = list(dict.fromkeys(c for b in outer.scope.values() for c in b.every_column()))
+        keys = list(dict.fromkeys(c for b in outer.scope.values() for c in b.keys()))
+        inner = Frame(outer.df.select(*map(col, every)).dropDuplicates(keys), outer.scope)
+        _, done, names = self._statement(s, params, inner, True, outer)[0]
+        _, empty, _ = self._statement(s, params, inner.where(F.lit(False)), True, None)[0]
+        # values have new names in the subquery's result
+        again = {k: (mine, f"{k}.outer") for v, b in outer.scope.items() for k, mine in zip(b.keys(), done.scope[v].keys(), strict=True)}
+        met = "met.outer"
+        right = done.df.select(*(col(mine).alias(a) for mine, a in again.values()), *(col(done.scope[n].cols["value"]) for n in names), F.lit(True).alias(met))
+        on = reduce(lambda a, b: a & b, (col(k).eqNullSafe(col(a)) for k, (_, a) in again.items()))
+        nothing = empty.df.select(*(col(empty.scope[n].cols["value"]).alias(f"{done.scope[n].cols['value']}.none") for n in names))
+        df = outer.df.join(right, on, "left").crossJoin(nothing)  # one row
+        scope, columns = dict(outer.scope), []
+        for n in names:
+            held = done.scope[n].cols["value"]
+            columns.append(F.when(col(met), col(held)).otherwise(col(f"{held}.none")).alias(f"{held}.all"))
+            scope[n] = Bound("value", {"value": f"{held}.all"}, type=done.scope[n].type)
+        return Frame(df.select(*(col(c) for c in outer.df.columns), *columns), scope)
+
     def _union(self, u: Union, params: dict[str, Any]) -> DataFrame:
         out = None
         for k, s in enumerate(u.parts):

@@ -4,78 +4,102 @@ from quiverql.plans.parser import QueryError
 from quiverql.session import GraphSession
 from quiverql.sources.graph import from_dataset, from_json
 
-from .test_reads import MOVIES
+from .test_reads import GARDENS
 
 
 @pytest.fixture
-def movies(engine_spark):
-    return GraphSession(from_dataset(engine_spark, MOVIES))
+def gardens(engine_spark):
+    return GraphSession(from_dataset(engine_spark, GARDENS))
 
 
 def values(session, query, params=None):
     return sorted((r.x for r in session.run(query, params).collect()), key=str)
 
 
-def test_create(movies):
-    assert movies.run("CREATE (n:Person {name: $n, age: 3}) RETURN n", {"n": "Dan"}).first().n.properties.age == 3
-    assert values(movies, "MATCH (n:Person) WHERE n.age = 3 RETURN n.name AS x") == ["Dan"]
-    movies.run("CREATE (:Genre {name: 'Drama'})")
-    movies.run('MATCH (a:Person {name:"Carol"}) RETURN a; MATCH (m:Movie {title:"John Wick"}) RETURN m; CREATE (a)-[r:ACTED_IN {role:"C"}]->(m) RETURN r')
-    assert values(movies, "MATCH (a {name:'Carol'})-[r]->(m) RETURN r.role + '/' + m.title AS x") == ["C/John Wick"]
-    movies.run("CREATE (a:Person {name:'Eve'})-[r:KNOWS]->(b:Person {name:'Fay'}) RETURN r")
-    assert values(movies, "MATCH (:Person {name:'Eve'})-[:KNOWS]->(b) RETURN b.name AS x") == ["Fay"]
-    assert values(movies, "MATCH (n) RETURN count(*) AS x") == [10]
+def test_create(gardens):
+    assert gardens.run("CREATE (n:Keeper {name: $n, age: 3}) RETURN n", {"n": "Dan"}).first().n.properties.age == 3
+    assert values(gardens, "MATCH (n:Keeper) WHERE n.age = 3 RETURN n.name AS x") == ["Dan"]
+    gardens.run("CREATE (:Soil {name: 'Drama'})")
+    gardens.run('MATCH (a:Keeper {name:"Ines"}) RETURN a; MATCH (m:Garden {plot:"Mill Yard"}) RETURN m; CREATE (a)-[r:TENDS {task:"C"}]->(m) RETURN r')
+    assert values(gardens, "MATCH (a {name:'Ines'})-[r]->(m) RETURN r.task + '/' + m.plot AS x") == ["C/Mill Yard"]
+    gardens.run("CREATE (a:Keeper {name:'Eve'})-[r:KNOWS]->(b:Keeper {name:'Fay'}) RETURN r")
+    assert values(gardens, "MATCH (:Keeper {name:'Eve'})-[:KNOWS]->(b) RETURN b.name AS x") == ["Fay"]
+    assert values(gardens, "MATCH (n) RETURN count(*) AS x") == [10]
 
 
-def test_merge(movies):
-    assert movies.run('MERGE (n:Person {name:"Alice"}) ON MATCH SET n.seen = 1 ON CREATE SET n.seen = 0 RETURN id(n) AS x, n.seen AS s').first() == (1, 1)
-    assert movies.run('MERGE (n:Person {name:"Gus"}) ON MATCH SET n.seen = 1 ON CREATE SET n.seen = 0 RETURN n.seen AS s').first().s == 0
-    q = 'MATCH (p:Person {name:"%s"}) RETURN p; MATCH (m:Movie {title:"John Wick"}) RETURN m; MERGE (p)-[r:ACTED_IN]->(m) RETURN id(r) AS x'
-    assert values(movies, q % "Alice") == [8]
-    assert len(values(movies, "MATCH ()-[r:ACTED_IN]->() RETURN id(r) AS x")) == 3
-    movies.run(q % "Carol")
-    assert len(values(movies, "MATCH ()-[r:ACTED_IN]->() RETURN id(r) AS x")) == 4
-    movies.run("MERGE (a:Person {name:'New'})-[r:LIKES {much: 2}]->(g:Genre {name:'Action'}) ON CREATE SET r.since = 2020 RETURN r")
-    assert values(movies, "MATCH (a)-[r:LIKES]->(g) RETURN a.name + g.name + r.since AS x") == ["NewAction2020"]
+def test_merge(gardens):
+    assert gardens.run('MERGE (n:Keeper {name:"Mira"}) ON MATCH SET n.seen = 1 ON CREATE SET n.seen = 0 RETURN id(n) AS x, n.seen AS s').first() == (1, 1)
+    assert gardens.run('MERGE (n:Keeper {name:"Gus"}) ON MATCH SET n.seen = 1 ON CREATE SET n.seen = 0 RETURN n.seen AS s').first().s == 0
+    q = 'MATCH (p:Keeper {name:"%s"}) RETURN p; MATCH (m:Garden {plot:"Mill Yard"}) RETURN m; MERGE (p)-[r:TENDS]->(m) RETURN id(r) AS x'
+    assert values(gardens, q % "Mira") == [8]
+    assert len(values(gardens, "MATCH ()-[r:TENDS]->() RETURN id(r) AS x")) == 3
+    gardens.run(q % "Ines")
+    assert len(values(gardens, "MATCH ()-[r:TENDS]->() RETURN id(r) AS x")) == 4
+    gardens.run("MERGE (a:Keeper {name:'New'})-[r:LIKES {much: 2}]->(g:Soil {name:'Loam'}) ON CREATE SET r.since = 2020 RETURN r")
+    assert values(gardens, "MATCH (a)-[r:LIKES]->(g) RETURN a.name + g.name + r.since AS x") == ["NewLoam2020"]
 
 
-def test_set(movies):
-    assert values(movies, "MATCH (m:Movie) SET m.released = m.released + 1, m.next = m.released + 1 RETURN m.next AS x") == [2001, 2016]
-    movies.run("MATCH (a {name:'Alice'})-[r:ACTED_IN]->(m) SET r.role = 'X'")
-    assert values(movies, "MATCH ()-[r:ACTED_IN]->() RETURN r.role AS x") == ["Buddy", "X", "X"]
-    movies.run('MATCH (a:Person {name:"Alice"}) RETURN a; MATCH (b:Person {name:"Bob"}) RETURN b; MATCH (m:Movie {title:"The Matrix"}) SET m.tag = a.name + "-" + b.name RETURN m')
-    assert values(movies, "MATCH (m:Movie) WHERE m.tag IS NOT NULL RETURN m.tag AS x") == ["Alice-Bob"]
-    movies.run("MATCH (m:Movie) SET m.tag = null")
-    assert values(movies, "MATCH (m:Movie) WHERE m.tag IS NULL RETURN id(m) AS x") == [3, 4]
+def test_set(gardens):
+    assert values(gardens, "MATCH (m:Garden) SET m.opened = m.opened + 1, m.next = m.opened + 1 RETURN m.next AS x") == [1989, 2008]
+    gardens.run("MATCH (a {name:'Mira'})-[r:TENDS]->(m) SET r.task = 'X'")
+    assert values(gardens, "MATCH ()-[r:TENDS]->() RETURN r.task AS x") == ["Paths", "X", "X"]
+    gardens.run("MATCH (s:Soil) RETURN s; MATCH (g:Garden)<-[:TENDS {task: 'Paths'}]-(k) SET g.note = k.name + ' on ' + s.name, k.busy = true")
+    assert values(gardens, "MATCH (g:Garden) RETURN g.note AS x") == [None, "Oto on Loam"] and values(gardens, "MATCH (k:Keeper) WHERE k.busy = true RETURN id(k) AS x") == [2]
+    gardens.run("MATCH (g) SET g.note = null")
+    assert values(gardens, "MATCH (g) WHERE g.note IS NOT NULL RETURN id(g) AS x") == []
 
 
-def test_delete(movies):
-    movies.run("MATCH (a {name:'Alice'})-[r]->(m {released: 1999}) DELETE r")
-    assert values(movies, "MATCH ()-[r]->() RETURN id(r) AS x") == [10, 8, 9]
-    movies.run("MATCH (m:Movie) DELETE m")
-    assert values(movies, "MATCH (n) RETURN id(n) AS x") == [1, 2, 5, 6] and values(movies, "MATCH ()-[r]->() RETURN id(r) AS x") == []
+def test_delete(gardens):
+    gardens.run("MATCH (a {name:'Mira'})-[r]->(m {opened: 1987}) DELETE r")
+    assert values(gardens, "MATCH ()-[r]->() RETURN id(r) AS x") == [10, 8, 9]
+    gardens.run("MATCH (m:Garden) DELETE m")
+    assert values(gardens, "MATCH (n) RETURN id(n) AS x") == [1, 2, 5, 6] and values(gardens, "MATCH ()-[r]->() RETURN id(r) AS x") == []
 
 
-def test_foreach(movies):
-    movies.run('FOREACH x IN ["a", "b", "c"] CREATE (n:Batch {name: x})')
-    assert values(movies, "MATCH (n:Batch) RETURN n.name AS x") == ["a", "b", "c"]
-    movies.run("MATCH p=(a {name:'Bob'})-[:ACTED_IN]->(m) FOREACH n IN nodes(p) SET n.marked = true")
-    assert values(movies, "MATCH (n) WHERE n.marked = true RETURN id(n) AS x") == [2, 4]
+def test_foreach(gardens):
+    gardens.run("FOREACH row IN [4, 9, 16] CREATE (b:Bed {row: row})")
+    assert values(gardens, "MATCH (b:Bed) RETURN b.row * 2 AS x") == [18, 32, 8]
+    gardens.run("MATCH p=(a {name:'Oto'})-[:TENDS]->(m) FOREACH n IN nodes(p) SET n.marked = true")
+    assert values(gardens, "MATCH (n) WHERE n.marked = true RETURN id(n) AS x") == [2, 4]
 
 
-def test_a_failed_statement_changes_nothing(movies):
+def test_foreach_runs_for_every_row(gardens):
+    gardens.run("MATCH (g:Garden) FOREACH y IN [g.opened, g.opened + 5] SET g.last = y")
+    assert values(gardens, "MATCH (g:Garden) RETURN g.last - g.opened AS x") == [5, 5]  # the last element counts
+    gardens.run("MATCH (k:Keeper)-[:TENDS]->(g) FOREACH t IN [k.name] CREATE (v:Visit {by: t, year: g.opened})")
+    assert values(gardens, "MATCH (v:Visit) RETURN v.by + v.year AS x") == ["Mira1987", "Mira2006", "Oto2006"]
+    gardens.run("MATCH (k:Keeper) FOREACH t IN [] SET k.none = t")
+    gardens.run("MATCH (k:Keeper) FOREACH n IN [1, 2] MATCH (k)-[r:TENDS]->(g) SET r.times = n")
+    assert values(gardens, "MATCH ()-[r:TENDS]->() RETURN r.times AS x") == [2, 2, 2]
+
+
+def test_paths_are_kept_for_later_statements(gardens):
+    gardens.run("MATCH way=(k {name:'Oto'})-[:TENDS]->(g) RETURN way; FOREACH n IN nodes(way) MATCH (n) SET n.walked = length(way)")
+    assert values(gardens, "MATCH (n) WHERE n.walked = 1 RETURN id(n) AS x") == [2, 4]
+    assert values(gardens, "MATCH way=(s:Soil)<-[*2]-(k) RETURN way; UNWIND nodes(way) AS n RETURN id(n) AS x") == [1, 3, 6]
+
+
+def test_paths_of_any_length(engine_spark):
+    n = 40
+    ring = {"nodes": [{"id": i, "labels": ["Post"], "properties": {"at": i}} for i in range(n)], "relationships": [{"id": 100 + i, "type": "NEXT", "startNode": i, "endNode": (i + 1) % n, "properties": {}} for i in range(n)]}
+    session = GraphSession(from_dataset(engine_spark, ring))
+    assert values(session, "MATCH p=(a {at: 0})-[:NEXT*]->(b) RETURN length(p) AS x") == sorted(range(1, n), key=str)
+    assert values(session, "MATCH p=(a {at: 3})-[:NEXT*37..37]->(b) RETURN b.at AS x") == [0]
+
+
+def test_a_failed_statement_changes_nothing(gardens):
     with pytest.raises(QueryError):
-        movies.run("CREATE (n:Person {name: 'Zoe'}) SET q.x = 1")
-    assert values(movies, "MATCH (n:Person {name:'Zoe'}) RETURN id(n) AS x") == []
+        gardens.run("CREATE (n:Keeper {name: 'Quin'}) SET q.x = 1")
+    assert values(gardens, "MATCH (n:Keeper {name:'Quin'}) RETURN id(n) AS x") == []
 
 
 def test_json_source_and_empty_graph(engine_spark, tmp_path):
     import json
 
-    (tmp_path / "g.json").write_text(json.dumps(MOVIES))
+    (tmp_path / "g.json").write_text(json.dumps(GARDENS))
     session = GraphSession(from_json(engine_spark, f"{tmp_path}/g.json"))
-    assert values(session, "MATCH (a:Person)-[:ACTED_IN]->(m) RETURN m.title AS x") == ["John Wick", "John Wick", "The Matrix"]
+    assert values(session, "MATCH (a:Keeper)-[:TENDS]->(m) RETURN m.plot AS x") == ["Mill Yard", "Mill Yard", "North Plot"]
     empty = GraphSession(from_dataset(engine_spark, {"nodes": [], "relationships": []}))
     assert values(empty, "MATCH (n) RETURN id(n) AS x") == []
-    empty.run("MERGE (n:Person {name:'First'})")
+    empty.run("MERGE (n:Keeper {name:'First'})")
     assert values(empty, "MATCH (n) RETURN n.name AS x") == ["First"]
