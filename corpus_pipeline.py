@@ -18,7 +18,6 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from quiverql.llm import op1_simhash, op2_bpe, op3_lines, op5_toxicity, op10_decontam
 from quiverql.llm.common import Written, read_table
@@ -32,7 +31,7 @@ TOXIC, MIN_DOCS = 0.7, 10
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score below ``TOXIC``."""
     model = op5_toxicity.fit(docs, read_table(spark, sf_dir, "labels"))
-    return op5_toxicity.with_score(docs, model, "_toxicity").where(F.col("_toxicity") < TOXIC).drop("_toxicity")
+    return op5_toxicity.below(docs, model, TOXIC)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

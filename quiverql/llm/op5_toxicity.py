@@ -1,23 +1,31 @@
 """Toxicity by weak supervision.
 
-Many voters look at a text: words of a fixed lexicon, shapes of the text, and
-word beginnings that labelled rows suggest. A generative label model (a class,
-and for each voter how often it fires under either class) is fitted to their
-votes by expectation maximisation, a row's given label being one more voter;
-correlations that remain between voters within a class lower the weight of
-voters that repeat each other. A linear classifier is then trained on the
-posterior labels, and scores every text.
-
-The fit uses a bounded sample of labelled rows (``LABELLED``, those with the
-smallest hashes of their id); what leaves the executors in the fit are counts
-and votes, at most ``CANDIDATES`` word beginnings and one line for each row of
-the sample. Scoring is one narrow pass over whole texts.
+Many voters look at a text: words of fixed lexicons in four languages, shapes of
+the text, and word beginnings that the corpus itself suggests without any label.
+The last come from a regularity: a word that is put into a text where a sentence
+should begin stands there in lower case. Beginnings of words that open sentences
+mostly in lower case, in a share of all documents, are voters, at several
+strengths (the share of a text's different words that have one).
+
+A generative label model is fitted to their votes by expectation maximisation:
+a class, for each voter how often it fires under either class, and correlations,
+as a tree of voters in which each voter's rate also depends on its parent's
+vote, chosen by what the class leaves unexplained. A row's given label is one
+more voter, from which the fit starts and whose accuracy is estimated like the
+others'; without labels it starts from the votes alone. A linear classifier is then trained on the posterior labels, and
+scores every text.
+
+Word beginnings are counted over all documents. The fit uses a bounded sample of
+labelled rows (``LABELLED``, those with the smallest hashes of their id); what
+leaves the executors are beginnings with their counts, and one line of votes for
+each row of the sample. Scoring is one narrow pass over whole texts.
 
 Defined results: a null or empty text gets the score of a text in which no
 voter fires; labels that are null or disagree for an id are not used; without
-labels of both classes the fixed voters decide by their prior weights; a null
-id is not held out; repeated rows give repeated results; columns other than
-``doc_id`` and ``text`` are ignored; an empty table gives an empty table.
+labels the votes alone decide, without any row that has a label the lexicons'
+prior weights; a null id is not held out; repeated rows give repeated results;
+columns other than ``doc_id`` and ``text`` are ignored; an empty table gives an
+empty table.
 """
 
 from __future__ import annotations
@@ -32,44 +40,64 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Written, document_texts, map_batches, texts
+from .common import Written, document_texts, map_batches, slices, texts
 
 #: Most labelled rows that the fit looks at.
 LABELLED = 20_000
-#: Word beginnings: lengths, least number of toxic rows with one, most clean rows for each toxic one, and how many are looked at and kept.
-LENGTHS, SUPPORT, IMPURITY, CANDIDATES, KEPT, GAIN = range(3, 11), 4, 0.02, 6_000, 250, 3
-#: Insults in English, each a voter.
+#: Word beginnings: lengths, least documents (and share of all documents) in which one opens a sentence in lower case, least share of its openings that do, and which share of a text's different words makes each of its voters fire.
+LENGTHS, SUPPORT, SHARE, LOWERED, STRENGTHS = range(4, 11), 4, 1e-4, 0.6, (0, 1 / 200, 1 / 60)
+#: A beginning goes on to a longer one that holds this share of its documents.
+CLOSED = 0.8
+#: Insults in English, German, French and Spanish, each a voter.
 LEXICON = (
     "bastard", "clown", "crap", "creep", "cretin", "degenerate", "despicable", "dimwit", "disgusting", "dumb", "filth", "fool", "garbage", "hate", "idiot", "imbecile",
     "jerk", "loser", "lunatic", "maggot", "moron", "parasite", "pathetic", "pig", "scum", "shut", "stupid", "subhuman", "trash", "ugly", "vermin", "worthless",
+    "abschaum", "arschloch", "dreck", "dumm", "ekelhaft", "trottel", "versager", "wertlos",
+    "abruti", "connard", "crétin", "dégueulasse", "imbécile", "minable", "ordure", "salaud",
+    "asqueroso", "basura", "escoria", "estúpido", "idiota", "inútil", "patético", "tonto",
 )
-SHAPES = ("shouting", "exclaiming", "address")
+SHAPES = ("shouting", "exclaiming", "address", "lowered")
 WORD = re.compile(r"[^\W\d_]+")
+OPENING = re.compile(r"[.!?]\s+([^\W\d_]+)")
 #: Weight, as log odds, of a lexicon voter before anything is learnt, and of every text.
 PRIOR_WEIGHT, PRIOR_BIAS = 4.0, -3.0
+#: What the fit first takes a row for, by whether a lexicon or a beginning votes; and the first accuracy of given labels.
+FIRST, RIGHT = (0.05, 0.9), 0.9
+#: Texts that are Python objects at a time.
+TEXTS = 1_024
 
 
 def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
+def openings(text: str) -> tuple[set[str], set[str]]:
+    """Words that open a sentence in lower case, and otherwise (all as lower case)."""
+    low, other = set(), set()
+    for word in OPENING.findall(text):
+        (low if word[0].islower() else other).add(word.lower())
+    return low, other
+
+
 @dataclass
 class Voters:
-    """Which voters fire on a text: lexicon words, shapes, then word beginnings."""
+    """Which voters fire on a text: lexicon words, shapes, then word beginnings at each strength."""
 
     stems: tuple[str, ...]
     seen: dict[str, tuple[int, ...]] = field(default_factory=dict)
 
     def __post_init__(self) -> None:
-        self.names = [*LEXICON, *SHAPES, *self.stems]
+        self.names = [*LEXICON, *SHAPES, *(f"{s}{k}" for s in self.stems for k in range(len(STRENGTHS)))]
         self.words = {w: i for i, w in enumerate(LEXICON)}
-        self.starts = {s: i + len(LEXICON) + len(SHAPES) for i, s in enumerate(self.stems)}
+        self.starts = {s: i for i, s in enumerate(self.stems)}
         self.lengths = sorted({len(s) for s in self.stems})
+        #: Voters that say something of toxicity before anything is learnt.
+        self.telling = np.array([n not in SHAPES for n in self.names])
 
     def of_word(self, word: str) -> tuple[int, ...]:
         hit = self.seen.get(word)
         if hit is None:
-            hit = tuple({i for n in self.lengths if (i := self.starts.get(word[:n])) is not None and len(word) >= n} | ({self.words[word]} if word in self.words else set()))
+            hit = tuple(i for n in self.lengths if len(word) >= n and (i := self.starts.get(word[:n])) is not None)
             if len(self.seen) > 300_000:
                 self.seen.clear()
             self.seen[word] = hit
@@ -78,55 +106,97 @@ class Voters:
     def votes(self, text: str) -> list[int]:
         low = text.lower()
         out: set[int] = set()
-        for word in set(WORD.findall(low)):
+        begun: Counter = Counter()
+        words = set(WORD.findall(low))
+        for word in words:
+            if word in self.words:
+                out.add(self.words[word])
             if hit := self.of_word(word):
-                out.update(hit)
-        n = len(LEXICON)
-        if text.isupper():
-            out.add(n)
-        if text.count("!") * 40 > len(text) > 0:
-            out.add(n + 1)
-        if "you are" in low or "you're" in low:
-            out.add(n + 2)
+                begun.update(hit)
+        base = len(LEXICON) + len(SHAPES)
+        for stem, n in begun.items():
+            out.update(base + stem * len(STRENGTHS) + k for k, least in enumerate(STRENGTHS) if n >= least * len(words))
+        shapes = (text.isupper(), text.count("!") * 40 > len(text) > 0, "you are" in low or "you're" in low, bool(openings(text)[0]))
+        out.update(len(LEXICON) + k for k, fires in enumerate(shapes) if fires)
         return sorted(out)
 
 
 @dataclass
 class LabelModel:
-    """P(class), and P(voter fires | class) for each voter; ``share`` discounts correlated voters."""
+    """P(class), and for each voter P(fires | class, vote of its parent); a voter that is its own parent has none."""
 
     prior: float
-    fires: np.ndarray  # voters x 2
-    share: np.ndarray
+    parent: np.ndarray
+    fires: np.ndarray  # voters x class x parent's vote
 
     def log_odds(self, votes: np.ndarray) -> np.ndarray:
-        p1, p0 = self.fires[:, 1], self.fires[:, 0]
-        yes, no = np.log(p1 / p0) * self.share, np.log((1 - p1) / (1 - p0)) * self.share
-        return np.log(self.prior / (1 - self.prior)) + votes @ (yes - no) + no.sum()
-
-
-def fit_label_model(votes: np.ndarray, given: np.ndarray, rounds: int = 25) -> tuple[LabelModel, np.ndarray]:
-    """EM over voters and the given labels (one more voter, right 19 times in 20 to begin with). Returns the posterior too."""
+        above = votes[:, self.parent]
+        root = self.parent == np.arange(len(self.parent))
+        above = np.where(root, 0, above).astype(np.int64)
+        p = [self.fires[np.arange(len(root)), y, above] for y in (0, 1)]
+        each = np.where(votes > 0, np.log(p[1] / p[0]), np.log((1 - p[1]) / (1 - p[0])))
+        return np.log(self.prior / (1 - self.prior)) + each.sum(axis=1)
+
+
+def dependence(votes: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """Mutual information of every two voters within the classes (rows weigh ``w``, a column for each class)."""
+    total = np.zeros((votes.shape[1], votes.shape[1]))
+    for y in range(w.shape[1]):
+        n = w[:, y].sum()
+        if n < 1e-9:
+            continue
+        both = (votes * w[:, y : y + 1]).T @ votes / n
+        one = np.diag(both)
+        cells = ((both, one[:, None] * one), (one[:, None] - both, one[:, None] * (1 - one)), (one - both, (1 - one[:, None]) * one), (1 - one[:, None] - one + both, (1 - one[:, None]) * (1 - one)))
+        for joint, apart in cells:
+            ok = (joint > 1e-12) & (apart > 1e-12)
+            total[ok] += n / len(votes) * joint[ok] * np.log(joint[ok] / apart[ok])
+    np.fill_diagonal(total, 0)
+    return total
+
+
+def strongest_tree(weight: np.ndarray, least: float) -> np.ndarray:
+    """Parents in a maximum spanning forest of the edges that weigh ``least`` or more; a root is its own parent."""
+    m = len(weight)
+    parent = np.arange(m)
+    best, by, open_ = np.full(m, -1.0), np.arange(m), np.ones(m, dtype=bool)
+    for _ in range(m):
+        k = int(np.argmax(np.where(open_, best, -2)))
+        open_[k] = False
+        parent[k] = by[k] if best[k] >= least else k
+        better = open_ & (weight[k] > best)
+        best[better], by[better] = weight[k][better], k
+    return parent
+
+
+def fit_label_model(votes: np.ndarray, given: np.ndarray | None, telling: np.ndarray, rounds: int = 30) -> tuple[LabelModel, np.ndarray]:
+    """EM over the voters and, if ``given`` is not None, given labels as one more voter. Returns the posterior too.
+
+    The tree of correlations is chosen anew in every fifth round; its edges
+    carry at least what two independent voters show by chance in as many rows.
+    """
     n, m = votes.shape
-    right = 0.95
-    q = np.where(given == 1, right, 1 - right)
-    share = np.ones(m)
+    said = np.zeros(n)
+    q = np.where(votes[:, telling].any(axis=1), FIRST[1], FIRST[0]) if given is None else np.where(given == 1, RIGHT, 1 - RIGHT)
+    parent = np.arange(m)
     for k in range(rounds):
         prior = float(np.clip(q.mean(), 1e-3, 1 - 1e-3))
         w = np.stack([1 - q, q], axis=1)
-        fires = (votes.T @ w + np.array([0.01, 0.5])) / (w.sum(axis=0) + 1)
-        fires = np.clip(fires, 1e-5, 1 - 1e-5)
-        if k in (5, 15):  # correlations that the class leaves between voters
-            left = votes - w @ fires.T
-            cov = left.T @ left / n
-            sd = np.sqrt(np.maximum(np.diag(cov), 1e-9))
-            rho = np.maximum(cov / np.outer(sd, sd), 0)
-            rho[rho < 0.1] = 0
-            share = 1 / np.maximum(rho.sum(axis=1), 1)
-        model = LabelModel(prior, fires, share)
-        odds = model.log_odds(votes) + np.where(given == 1, 1, -1) * np.log(right / (1 - right))
-        q = 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
-        right = float(np.clip(np.where(given == 1, q, 1 - q).mean(), 0.8, 0.999))
+        if k % 5 == 0:
+            parent = strongest_tree(dependence(votes, w), 6 / n)
+        above = np.where(parent == np.arange(m), 0, votes[:, parent])
+        fires = np.zeros((m, 2, 2))
+        for y in (0, 1):
+            # rates without a parent steady those with one, and a rate of the voters at large those
+            rate = (votes.T @ w[:, y] + (0.5 if y else 0.01)) / (w[:, y].sum() + 1)
+            for up in (0, 1):
+                weight = w[:, y : y + 1] * (above == up)
+                fires[:, y, up] = ((votes * weight).sum(axis=0) + 2 * rate) / (weight.sum(axis=0) + 2)
+        model = LabelModel(prior, parent, np.clip(fires, 1e-5, 1 - 1e-5))
+        if given is not None:  # how often labels are right under either class
+            right = [np.clip(((given == y) * w[:, y]).sum() / max(w[:, y].sum(), 1e-9), 0.5, 0.999) for y in (0, 1)]
+            said = np.where(given == 1, np.log(right[1] / (1 - right[0])), np.log((1 - right[1]) / right[0]))
+        q = 1 / (1 + np.exp(-np.clip(model.log_odds(votes) + said, -30, 30)))
     return model, q
 
 
@@ -175,7 +245,7 @@ def fixed_model() -> Model:
     m = len(voters.names)
     linear = np.zeros(m + 2)
     linear[: len(LEXICON)], linear[-1] = PRIOR_WEIGHT, PRIOR_BIAS
-    return Model(voters, LabelModel(0.05, np.tile([0.01, 0.01], (m, 1)), np.ones(m)), linear)
+    return Model(voters, LabelModel(0.05, np.arange(m), np.full((m, 2, 2), 0.01)), linear)
 
 
 def _sample(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -185,104 +255,91 @@ def _sample(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return document_texts(docs).join(F.broadcast(ids), "doc_id")  # at most LABELLED rows
 
 
-def _beginnings(sample: DataFrame) -> DataFrame:
-    """(stem, toxic rows, clean rows), each text counted once."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            counts: tuple[Counter, Counter] = (Counter(), Counter())
-            for text, toxic in zip(texts(b.column(0)), b.column(1).to_pylist(), strict=True):
-                words = set(WORD.findall(text.lower()))
-                counts[toxic].update({w[:n] for w in words for n in LENGTHS if len(w) >= n})
-            keys = list(counts[0].keys() | counts[1].keys())
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), *(pa.array([counts[t][k] for k in keys], pa.int64()) for t in (1, 0))], ["stem", "n1", "n0"])
-
-    once = sample.groupBy(F.xxhash64("text").alias("h")).agg(F.first("text").alias("text"), F.max("toxic").alias("toxic")).select("text", "toxic")
-    return map_batches(once, run, "stem string, n1 long, n0 long").groupBy("stem").agg(F.sum("n1").alias("n1"), F.sum("n0").alias("n0"))
+def _beginnings(docs: DataFrame) -> list[str]:
+    """Word beginnings that open sentences mostly in lower case, from all documents."""
+
+    def prefixes(words: set[str]) -> set[str]:
+        return {w[:n] for w in words for n in LENGTHS if len(w) >= n}
+
+    def counted(found, columns: str) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            n: Counter = Counter()
+            for b in slices(batches, TEXTS):
+                for text in texts(b.column(1)):
+                    n.update(found(text))
+                if len(n) > 300_000:
+                    yield pa.RecordBatch.from_arrays([pa.array(list(n.keys()), pa.string()), pa.array(list(n.values()), pa.int64())], ["stem", "n"])
+                    n.clear()
+            yield pa.RecordBatch.from_arrays([pa.array(list(n.keys()), pa.string()), pa.array(list(n.values()), pa.int64())], ["stem", "n"])
+
+        return map_batches(docs, run, columns).groupBy("stem").agg(F.sum("n").alias("n"))
+
+    least = max(SUPPORT, SHARE * docs.count())
+    low = {r.stem: r.n for r in counted(lambda t: prefixes(openings(t)[0]), "stem string, n long").where(F.col("n") >= least).collect()}  # at most 1 / SHARE for each opening of a document
+    if not low:
+        return []
+    high = {r.stem: r.n for r in counted(lambda t: prefixes(openings(t)[1]) & low.keys(), "stem string, n long").collect()}
+    good = {s: n for s, n in low.items() if n >= LOWERED * (n + high.get(s, 0))}
+    longest: Counter = Counter()
+    for s, n in good.items():
+        longest[s[:-1]] = max(longest[s[:-1]], n)
+    closed = sorted((s for s, n in good.items() if longest[s] < CLOSED * n), key=lambda s: (len(s), s))
+    out: set[str] = set()
+    for s in closed:
+        if not any(s[:n] in out for n in LENGTHS):
+            out.add(s)
+    return sorted(out)
 
 
 def _votes(rows: DataFrame, voters: Voters) -> list[tuple[int, list[int]]]:
     """(label, voters that fire) of each row of the sample."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches, TEXTS):
             found = [voters.votes(t) for t in texts(b.column(0))]
             yield pa.RecordBatch.from_arrays([b.column(1), pa.array(found, pa.list_(pa.int32()))], ["toxic", "votes"])
 
     return [(r.toxic, r.votes) for r in map_batches(rows.select("text", "toxic"), run, "toxic int, votes array<int>").collect()]
 
 
-def _cover(candidates: list[str], toxic: list[list[int]], strong: set[int], base: int) -> list[str]:
-    """Greedy choice of word beginnings: each explains at least GAIN rows that nothing before it does."""
-    holders: dict[int, set[int]] = {}
-    for row, hit in enumerate(toxic):
-        if not strong & set(hit):
-            for v in hit:
-                if v >= base:
-                    holders.setdefault(v, set()).add(row)
-    open_rows, out = set().union(*holders.values()) if holders else set(), []
-    while holders and len(out) < KEPT:
-        best = max(holders, key=lambda v: (len(holders[v] & open_rows), len(holders[v]), -len(candidates[v - base]), candidates[v - base]))
-        gain = holders.pop(best) & open_rows
-        if len(gain) < GAIN:
-            break
-        open_rows -= gain
-        out.append(candidates[best - base])
-    return out
-
-
-def fit(docs: DataFrame, labels: DataFrame) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, gold: bool = True) -> Model:
+    """``gold=False`` leaves given labels out of the label model: they only choose the rows of the sample then."""
+    voters = Voters(tuple(_beginnings(document_texts(docs))))
     sample = Written(_sample(docs, labels))
     try:
-        stems = _beginnings(sample.df).where((F.col("n1") >= SUPPORT) & (F.col("n0") <= IMPURITY * F.col("n1")))
-        top = stems.orderBy(F.desc("n1"), F.length("stem"), "stem").limit(CANDIDATES).collect()
-        candidates = [r.stem for r in top]
-        wide = Voters(tuple(candidates))
-        rows = _votes(sample.df, wide)
-        if not {0, 1} <= {y for y, _ in rows}:
-            return fixed_model()
-        base = len(LEXICON) + len(SHAPES)
-        fired = {y: Counter(v for label, hit in rows if label == y for v in hit if v < len(LEXICON)) for y in (0, 1)}
-        strong = {v for v, n in fired[1].items() if n >= SUPPORT and fired[0][v] <= IMPURITY * n}
-        chosen = _cover(candidates, [hit for y, hit in rows if y == 1], strong, base)
-        voters = Voters(tuple(chosen))
-        place = {wide.starts[s]: voters.starts[s] for s in chosen}
-        found = [[v if v < base else place[v] for v in hit if v < base or v in place] for _, hit in rows]
-        x, given = dense(found, len(voters.names)), np.array([y for y, _ in rows])
-        model, q = fit_label_model(x, given)
-        out = Model(voters, model, np.zeros(0))
-        out.linear = fit_linear(out.features(x), q)
-        return out
+        rows = _votes(sample.df, voters)
     finally:
         sample.drop()
+    if not rows:
+        return fixed_model()
+    x, given = dense([hit for _, hit in rows], len(voters.names)), np.array([y for y, _ in rows])
+    labels_too = gold and {0, 1} <= set(given.tolist())
+    model, q = fit_label_model(x, given if labels_too else None, voters.telling)
+    out = Model(voters, model, np.zeros(0))
+    out.linear = fit_linear(out.features(x), q)
+    return out
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """``doc_id`` and ``score`` of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for at in range(0, b.num_rows, 1024):
-                part = b.slice(at, 1024)
-                s = model.score([model.voters.votes(t) for t in texts(part.column(1))])
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(s)], ["doc_id", "score"])
+        for part in slices(batches, TEXTS):
+            s = model.score([model.voters.votes(t) for t in texts(part.column(1))])
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(s)], ["doc_id", "score"])
 
     return map_batches(document_texts(docs), run, "doc_id long, score double")
 
 
-def with_score(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:
-    """``docs`` with a column of scores after its own columns, rows in place."""
-    names = docs.columns
-    text = names.index("text")
+def below(docs: DataFrame, model: Model, threshold: float) -> DataFrame:
+    """The rows of ``docs`` that score below the threshold, with all their columns, whatever their names."""
+    text = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for at in range(0, b.num_rows, 1024):
-                part = b.slice(at, 1024)
-                s = model.score([model.voters.votes(t) for t in texts(part.column(text))])
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(s)], [*names, name])
+        for part in slices(batches, TEXTS):
+            yield part.filter(pa.array(model.score([model.voters.votes(t) for t in texts(part.column(text))]) < threshold))
 
-    return map_batches(docs, run, docs.select(*names, F.lit(0.0).alias(name)).schema)
+    return map_batches(docs, run, docs.schema)
 
 
 def digests(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> DataFrame:
