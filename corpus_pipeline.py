@@ -26,6 +26,8 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 #: A document goes when its toxicity reaches this; a line when this many documents have it.
 TOXIC, MIN_DOCS = 0.7, 10
+#: Words of a shingle in near-duplicate search.
+WORDS = 5
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,8 +42,8 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: the one with the smallest id."""
-    return op1_simhash.one_of_each(docs)
+    """One document of each group of near duplicates (similarity of five-word shingles): the one with the smallest id."""
+    return op1_simhash.one_of_each(docs, op1_simhash.similar(docs, WORDS))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -68,7 +70,10 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``; each result but the last is written as Parquet in the shared folder and read again."""
-    docs = read_table(spark, sf_dir, "documents")
+    docs, before = read_table(spark, sf_dir, "documents"), None
     for _, stage in STAGES[:-1]:
-        docs = Written(stage(spark, docs, sf_dir)).df
+        written = Written(stage(spark, docs, sf_dir))
+        if before is not None:
+            before.drop()
+        docs, before = written.df, written
     return STAGES[-1][1](spark, docs, sf_dir)

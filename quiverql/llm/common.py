@@ -4,8 +4,6 @@ from __future__ import annotations
 
 import ctypes
 import gc
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -13,35 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """Folder that driver and executors share: ``spark.checkpoint.dir``.
-
-    Where the setting is absent (tests in local mode) a temporary folder is
-    made once per context; on a cluster its absence is an error, because a
-    machine-local folder would not be seen by the executors.
-    """
-    sc = spark.sparkContext
-    named = sc.getConf().get("spark.checkpoint.dir")
-    if named:
-        return named.rstrip("/")
-    own = sc._jsc.sc().getCheckpointDir()
-    if own.isDefined():
-        return own.get().rstrip("/")
-    if not sc.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    sc.setCheckpointDir(f"file://{tempfile.mkdtemp(prefix='quiverql-')}")
-    return sc._jsc.sc().getCheckpointDir().get().rstrip("/")
-
-
-def checkpointed(df: DataFrame) -> DataFrame:
-    """``df`` computed once and cut from its lineage, in the shared folder.
-
-    Spark deletes the files when the frame is no longer referenced (with
-    ``spark.cleaner.referenceTracking.cleanCheckpoints``).
-    """
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+from ..sources.shared import SharedPath
 
 
 class Written:
@@ -52,17 +22,12 @@ class Written:
     """
 
     def __init__(self, df: DataFrame):
-        spark = df.sparkSession
-        self.path = f"{shared_dir(spark)}/quiverql/{uuid.uuid4().hex}"
-        df.write.parquet(self.path)
-        self.df = spark.read.schema(df.schema).parquet(self.path)
-        self._place = spark._jvm.org.apache.hadoop.fs.Path(self.path)
-        self._files = self._place.getFileSystem(spark._jsc.hadoopConfiguration())
-        self._files.deleteOnExit(self._place)
+        self._place = SharedPath(df.sparkSession)
+        df.write.parquet(self._place.path)
+        self.df = df.sparkSession.read.schema(df.schema).parquet(self._place.path)
 
     def drop(self) -> None:
-        self._files.delete(self._place, True)
-        self._files.cancelDeleteOnExit(self._place)
+        self._place.drop()
 
 
 def map_batches(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | StructType) -> DataFrame:

@@ -12,6 +12,15 @@ With 2**24 anchors a pair meets once, at the home of the smaller fingerprint.
 Equal fingerprints are one row from the start, so a group of copies never
 meets itself. Links go through ``connected_components``.
 
+Texts whose five-word shingles have a similarity of 0.8 differ in about 15 % of
+a fingerprint's bits, far beyond two. A ball of that radius holds more anchors
+than a search can visit, for any code. ``similar`` therefore takes fingerprints
+of 256 bits and, as anchors, the points of TABLES subcubes: each fixes BITS
+coordinates, so its code has radius zero and a fingerprint is sent to one anchor
+of each, its home. Two texts meet if they share one of their homes, and are
+linked if they differ in at most CLOSE bits. At a home each arrival is compared
+with leaders only: it is linked to the first one near enough, or becomes one.
+
 Defined results: a null or empty text, or one of white space, has fingerprint
 zero and is linked like any other; rows with equal ids are separate rows of one
 id; rows with a null id get a fingerprint and a component (null if no row of
@@ -31,7 +40,9 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Written, connected_components, document_texts, map_batches, texts
+from ..functions.expressions import col
+from .common import Written, connected_components, document_texts, map_batches, slices, texts
+from .op4_lattice import split_words
 
 #: Fixed values of the Golay code: length, generator polynomial, covering radius.
 LENGTH, GENERATOR, RADIUS = 23, 0b101011100011, 3
@@ -160,14 +171,165 @@ def components(docs: DataFrame, words: int = 3) -> DataFrame:
     return marked.join(ids, "fp").select("doc_id", "th", "fp", "root", "component_id")
 
 
-def one_of_each(docs: DataFrame, words: int = 3) -> DataFrame:
-    """One row of each component, with all its columns: that of the smallest id (of no id only if no row has one); of rows that also share the id, that of the smallest hash of the text."""
-    names = docs.columns
+#: Bits of the fingerprints in ``similar``, subcubes, coordinates that each fixes, and bits by which linked fingerprints may differ (those of a similarity of 0.8 differ in 39 on average, in 46 or fewer nine times in ten).
+WIDE, TABLES, BITS, CLOSE = 256, 64, 22, 46
+#: Words that are hashed together.
+PART = 1 << 16
+
+
+def _mixed(x: np.ndarray, salt: int) -> np.ndarray:
+    x = (x + np.uint64(salt * 0x9E3779B97F4A7C15 % 2**64)) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ x >> np.uint64(30)) * np.uint64(0x94D049BB133111EB)
+    return x ^ x >> np.uint64(31)
+
+
+def word_hashes(words: pa.Array) -> np.ndarray:
+    return np.array([xxhash.xxh3_64_intdigest(w, SEED) for w in words.cast(pa.binary()).to_pylist()], dtype=np.uint64)
+
+
+def wide_fingerprints(column: pa.Array, words: int) -> np.ndarray:
+    """WIDE bits of each text, as rows of 64-bit words; zero for texts without words."""
+    flat, per = split_words(column)
+    found = flat.dictionary_encode()
+    h = word_hashes(found.dictionary)[found.indices.to_numpy(zero_copy_only=False)]
+    out = np.zeros((len(per), WIDE // 64), dtype=np.uint64)
+    ends = np.cumsum(per)
+    for text, n in enumerate(per.tolist()):
+        if not n:
+            continue
+        own = h[ends[text] - n : ends[text]]
+        size = min(words, n)
+        ones = np.zeros(WIDE, dtype=np.int64)
+        for at in range(0, n - size + 1, PART):
+            part = own[at : at + PART + size - 1]
+            shingle = np.zeros(len(part) - size + 1, dtype=np.uint64)
+            for k in range(size):
+                shingle = shingle * np.uint64(0xD6E8FEB86659FD93) + part[k : len(part) - size + 1 + k]
+            bits = np.stack([_mixed(shingle, k + 1) for k in range(WIDE // 64)], axis=1)
+            ones += np.unpackbits(bits.view(np.uint8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        out[text] = np.packbits(ones * 2 > n - size + 1, bitorder="little").view(np.uint64)
+    return out
+
+
+@lru_cache(maxsize=1)
+def coordinates() -> np.ndarray:
+    rng = np.random.default_rng(64)
+    return np.stack([rng.permutation(WIDE)[:BITS] for _ in range(TABLES)])
+
+
+def subcubes(fp: np.ndarray) -> np.ndarray:
+    """The home of each fingerprint in every table (rows x TABLES)."""
+    bits = np.unpackbits(fp.view(np.uint8), axis=1, bitorder="little")
+    weights = 1 << np.arange(BITS, dtype=np.int64)
+    return np.stack([bits[:, c] @ weights + (t << BITS) for t, c in enumerate(coordinates())], axis=1)
+
+
+def distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.bitwise_count(a ^ b).sum(axis=-1, dtype=np.int64)
+
+
+def led(fp: np.ndarray, node: np.ndarray, leaders: list[np.ndarray], nodes: list[int], links: list[tuple[int, int]]) -> None:
+    """Link arrivals at one anchor to its leaders; those that none is near to become leaders."""
+    left = np.arange(len(fp))
+    for lead, at in zip(leaders, nodes, strict=True):
+        near = distance(fp[left], lead) <= CLOSE
+        links += [(at, x) for x in node[left[near]].tolist()]
+        left = left[~near]
+        if not len(left):
+            return
+    while len(left):
+        lead, at = fp[left[0]], int(node[left[0]])
+        leaders.append(lead)
+        nodes.append(at)
+        left = left[1:]
+        near = distance(fp[left], lead) <= CLOSE
+        links += [(at, x) for x in node[left[near]].tolist()]
+        left = left[~near]
+
+
+FP = ", ".join(f"f{k} long" for k in range(WIDE // 64))
+
+
+def _at_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links (u, v) within a partition sorted by anchor; leaders (with their anchor) of the partition's first and last anchors, which others may hold too."""
+    leaders: list[np.ndarray] = []
+    nodes: list[int] = []
+    key, first = None, True
+    schema = pa.schema([(n, pa.int64()) for n in ("u", "v", "anchor", *(f"f{k}" for k in range(WIDE // 64)))])
+
+    def edge() -> pa.RecordBatch:
+        fps = np.array(leaders, dtype=np.uint64).reshape(-1, WIDE // 64).view(np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.nulls(len(nodes), pa.int64()), pa.array([key] * len(nodes), pa.int64()), *(pa.array(np.ascontiguousarray(c)) for c in fps.T)], schema=schema)
+
+    for b in batches:
+        if not b.num_rows:
+            continue
+        anchor, node = (b.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
+        fp = np.stack([b.column(k).to_numpy(zero_copy_only=False) for k in range(2, 2 + WIDE // 64)], axis=1).view(np.uint64)
+        starts = np.flatnonzero(np.r_[True, anchor[1:] != anchor[:-1]])
+        stops = np.r_[starts[1:], len(anchor)]
+        links: list[tuple[int, int]] = []
+        inner = np.arange(len(starts))[1:-1]
+        size = stops - starts
+        two = inner[size[inner] == 2]
+        near = distance(fp[starts[two]], fp[starts[two] + 1]) <= CLOSE
+        links += zip(node[starts[two[near]]].tolist(), node[starts[two[near]] + 1].tolist(), strict=True)
+        for k in inner[size[inner] > 2].tolist():
+            led(fp[starts[k] : stops[k]], node[starts[k] : stops[k]], [], [], links)
+        for k in sorted({0, len(starts) - 1}):
+            if key != anchor[starts[k]]:
+                if key is not None and first:
+                    yield edge()
+                first = first and key is None
+                key, leaders, nodes = int(anchor[starts[k]]), [], []
+            led(fp[starts[k] : stops[k]], node[starts[k] : stops[k]], leaders, nodes, links)
+        u, v = zip(*links, strict=True) if links else ((), ())
+        yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64()), *(pa.nulls(len(u), pa.int64()) for _ in range(1 + WIDE // 64))], schema=schema)
+    if key is not None:
+        yield edge()
+
+
+def similar(docs: DataFrame, words: int = 5) -> DataFrame:
+    """``doc_id``, ``th`` and ``root`` (equal within a group of near duplicates) of every row."""
+
+    def marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, 1_000):
+            fp = wide_fingerprints(b.column(1), words).view(np.int64)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), *(pa.array(np.ascontiguousarray(c)) for c in fp.T)], ["doc_id", "th", *(f"f{k}" for k in range(WIDE // 64))])
+
+    def homes_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, 1_000):
+            fp = np.stack([c.to_numpy(zero_copy_only=False) for c in b.columns[1:]], axis=1)
+            of = pa.array(np.repeat(np.arange(len(fp)), TABLES))
+            yield pa.RecordBatch.from_arrays([pa.array(subcubes(fp.view(np.uint64)).ravel()), *(c.take(of) for c in b.columns)], ["anchor", "node", *b.schema.names[1:]])
+
+    names = [f"f{k}" for k in range(WIDE // 64)]
+    marked = Written(map_batches(document_texts(docs).withColumn("th", F.xxhash64("text")), marks, f"doc_id long, th long, {FP}")).df.withColumn("node", F.xxhash64(*names))
+    distinct = Written(marked.select("node", *names).distinct())
+    sent = Written(map_batches(distinct.df, homes_of, f"anchor long, node long, {FP}"))
+    order = ["anchor", *names]
+    columns = f"u long, v long, anchor long, {FP}"
+    met = Written(map_batches(sent.df.repartitionByRange(*order).sortWithinPartitions(*order), _at_anchors, columns))
+    sent.drop()
+    distinct.drop()
+    leaders = met.df.where("v is null").select("anchor", F.col("u").alias("node"), *names).repartition("anchor").sortWithinPartitions(*order)
+    again = map_batches(leaders, _at_anchors, columns).where("v is not null")
+    # written, so that both sides of the last join are plain exchanges and a fingerprint with very many rows can be split
+    roots = Written(connected_components(met.df.where("v is not null").select("u", "v").unionAll(again.select("u", "v")))).df
+    met.drop()
+    return marked.join(roots, "node", "left").select("doc_id", "th", F.coalesce("root", "node").alias("root"))
+
+
+def one_of_each(docs: DataFrame, groups: DataFrame) -> DataFrame:
+    """One row of each group (``doc_id``, ``th``, ``root``), with all its columns: that of the smallest id (of no id only if no row has one); of rows that also share the id, that of the smallest hash of the text."""
     order = F.struct(F.col("doc_id").isNull().alias("n"), F.coalesce("doc_id", F.lit(0).cast("long")).alias("k"), F.col("th").alias("t"))
-    keep = components(docs, words).groupBy("root").agg(F.min(order).alias("x")).select(F.col("x.n").alias("_n"), F.col("x.k").alias("_k"), F.col("x.t").alias("_t"))
+    keep = groups.groupBy("root").agg(F.min(order).alias("x")).select("x")
     key = docs["doc_id"].cast("long")
-    rows = docs.select(*names, key.isNull().alias("_n"), F.coalesce(key, F.lit(0).cast("long")).alias("_k"), F.xxhash64(docs["text"].cast("string")).alias("_t"))
-    return rows.join(keep, ["_n", "_k", "_t"], "left_semi").dropDuplicates(["_n", "_k", "_t"]).select(*names)
+    # the whole row is one column, so no name of its columns can clash
+    whole = F.struct(*(col(c) for c in docs.columns))
+    rows = docs.select(F.struct(key.isNull().alias("n"), F.coalesce(key, F.lit(0).cast("long")).alias("k"), F.xxhash64(docs["text"].cast("string")).alias("t")).alias("x"), whole.alias("row"))
+    kept = rows.join(keep, "x", "left_semi").dropDuplicates(["x"])
+    return kept.select(*(F.col("row").getField(c).alias(c) for c in docs.columns))
 
 
 def as_hex(fp: Column) -> Column:

@@ -29,7 +29,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
+from ..functions.expressions import col
 from .common import Written, document_texts, map_batches, texts
 
 #: Keep nothing of a repeated line, or its first occurrence by document and position.
@@ -241,7 +243,7 @@ def _hashed(docs: DataFrame) -> DataFrame:
 def dedup_lines(docs: DataFrame, min_docs: int, keep: str = NONE) -> DataFrame:
     """``docs`` with repeated lines taken out of ``text`` (and ``n_chars``, if there, set anew); all rows and columns stay."""
     names = docs.columns
-    base = docs.select("doc_id", "text", F.struct(*names).alias("row"))
+    base = docs.select("doc_id", "text", F.struct(*map(col, names)).alias("row"))
     joined = _with_bitmaps(docs, keep_bitmaps(docs, min_docs, keep), _hashed(base))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -250,13 +252,12 @@ def dedup_lines(docs: DataFrame, min_docs: int, keep: str = NONE) -> DataFrame:
             out = [t if m is None else "\n".join(kept_lines(t or "", m)) for t, m in zip(source.to_pylist(), maps.to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.string()), b.column(b.schema.get_field_index("row"))], ["kept", "row"])
 
-    slim = joined.select("text", "bitmap", F.struct(*(F.col(f"row.{c}") for c in names if c != "text")).alias("row"))
-    types = slim.schema["row"].dataType.simpleString()
-    kept = map_batches(slim, run, f"kept string, row {types}")
+    slim = joined.select("text", "bitmap", F.struct(*(F.col("row").getField(c).alias(c) for c in names if c != "text")).alias("row"))
+    kept = map_batches(slim, run, StructType([StructField("kept", StringType()), slim.schema["row"]]))
     value = {"text": F.col("kept")}
     if "n_chars" in names:
         value["n_chars"] = F.length("kept").cast(docs.schema["n_chars"].dataType)
-    return kept.select(*(value.get(c, F.col(f"row.{c}")).alias(c) for c in names))
+    return kept.select(*((value[c] if c in value else F.col("row").getField(c)).alias(c) for c in names))
 
 
 def digests(docs: DataFrame, min_docs: int) -> DataFrame:
