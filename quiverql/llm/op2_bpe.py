@@ -19,23 +19,26 @@ import hashlib
 import heapq
 import json
 from collections.abc import Iterator
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 
-from .common import document_texts, map_batches, texts
+from .common import document_texts, map_batches
+from .trie import Trie, laid_out
 
 #: Fixed value: the splitting rule of byte-level BPE as published with the vocabulary.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
-#: Entries of a worker's young memory; a full one replaces the old memory.
-REMEMBERED = 150_000
-#: Longer words are not remembered.
-LONGEST_KEPT = 64
-#: Characters of text that are split into words and guessed together.
-CHUNK = 1_000_000
+#: What makes a text one for the full rule: no text, white space other than space and line feed, or either at an end or beside another.
+ODD = r"\A\z|[\t\x0b\f\r\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]|\A[ \n]|[ \n]\z|[ \n][ \n]"
+#: Pairs whose test a worker remembers.
+REMEMBERED = 300_000
+#: Bytes of text that are split into words and guessed together.
+CHUNK = 3_000_000
 #: Words of up to this many bytes are merged together, as rows of a matrix.
 MATRIX_WIDTH = 32
 #: Marks that are a word of their own after letters, at the end of a text without white space.
@@ -53,24 +56,15 @@ def byte_symbols() -> list[str]:
     return [table[b] for b in range(256)]
 
 
-class Memory:
-    """Ids by string, of bounded size: what is used while the young part fills stays."""
+def gathered(values: np.ndarray, offsets: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The stretches ``at`` of a flat array, one after the other, and their lengths."""
+    n = (offsets[1:] - offsets[:-1])[at]
+    where = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(offsets[at], n)
+    return values[where], n
 
-    def __init__(self) -> None:
-        self.young: dict[str, tuple[int, ...]] = {}
-        self.old: dict[str, tuple[int, ...]] = {}
 
-    def find(self, key: str) -> tuple[int, ...] | None:
-        ids = self.young.get(key)
-        if ids is None and (ids := self.old.get(key)) is not None:
-            self.keep(key, ids)
-        return ids
-
-    def keep(self, key: str, ids: tuple[int, ...]) -> None:
-        if len(key) <= LONGEST_KEPT:
-            if len(self.young) >= REMEMBERED:
-                self.old, self.young = self.young, {}
-            self.young[key] = ids
+def offsets_of(n: np.ndarray) -> np.ndarray:
+    return np.r_[0, np.cumsum(n)]
 
 
 class BytePairCodec:
@@ -106,39 +100,41 @@ class BytePairCodec:
         ranks = np.fromiter((r for r, _ in self.rank_of.values()), dtype=np.int64, count=len(keys))
         order = np.argsort(keys)
         self.pair_keys, self.pair_ranks = keys[order], ranks[order]
-        self.longest = max(map(len, self.ids))
         #: Only tokens that merging makes out of their own bytes can be guessed.
-        self.whole = {b: i for b, i in self.ids.items() if len(b) == 1 or made_at[i] >= 0}
-        #: Every prefix of a token, with the token's id or -1.
-        self.trie: dict[bytes, int] = {b[:k]: -1 for b in self.whole for k in range(1, len(b))}
-        self.trie.update(self.whole)
+        whole = sorted((b, i) for b, i in self.ids.items() if len(b) == 1 or made_at[i] >= 0)
+        self.trie, self.guessable = Trie([b for b, _ in whole]), np.array([i for _, i in whole], dtype=np.int64)
+        self.token_offsets = offsets_of(np.array(list(map(len, self.token_bytes))))
+        self.token_flat = np.frombuffer(b"".join(self.token_bytes), dtype=np.uint8)
         self.byte_pair_rank = self.merge_ranks(np.repeat(self.byte_id, 256), np.tile(self.byte_id, 256)).reshape(256, 256)
         self.merged_at = np.full(len(merges) + 1, -1)
         for rank, made in self.rank_of.values():
             self.merged_at[rank] = made
         self.split = regex.compile(SPLIT)
         self.parts = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
-        #: Words by their text without a leading space, with and without one.
-        self.spaced, self.bare = Memory(), Memory()
         self.verdicts: dict[int, bool] = {}
         self.counts = {"guessed": 0, "merged": 0}
 
-    def guess(self, word: bytes) -> list[int]:
-        """Greedy longest match."""
-        out, at, end, find = [], 0, len(word), self.trie.get
-        while at < end:
-            stop = at + 1
-            best, then = self.whole[word[at:stop]], stop
-            while stop < end:
-                stop += 1
-                i = find(word[at:stop])
-                if i is None:
-                    break
-                if i >= 0:
-                    best, then = i, stop
-            out.append(best)
-            at = then
-        return out
+    def guess(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Greedy longest match: tokens of all words, and how many each has."""
+        length = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
+        flat, head = laid_out(np.frombuffer(b"".join(words), dtype=np.uint8), np.cumsum(length) - length, length)
+        best, step = np.full(len(flat), -1), np.zeros(len(flat), dtype=np.int64)
+        place, n = np.flatnonzero(flat != Trie.END), 0
+        node = np.zeros(len(place), dtype=np.int32)
+        while len(place):
+            node = self.trie.step(node, flat[place + n])
+            n += 1
+            place, node = place[node >= 0], node[node >= 0]
+            found = self.trie.piece[node]
+            some = found >= 0
+            best[place[some]], step[place[some]] = found[some], n
+        taken, at = np.zeros(len(flat), dtype=bool), head
+        while len(at):
+            taken[at] = True
+            at = at + step[at]
+            at = at[flat[at] != Trie.END]
+        where = np.flatnonzero(taken)
+        return self.guessable[best[where]], np.bincount(np.searchsorted(head, where, side="right") - 1, minlength=len(words))
 
     def merge_ranks(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         keys = a << 32 | b
@@ -230,15 +226,12 @@ class BytePairCodec:
             rank[each[has_left], at[has_left] - 1] = self.merge_ranks(ids[each[has_left], at[has_left] - 1], made[has_left])
         return out
 
-    def encode_words(self, words: list[str]) -> list[tuple[int, ...]]:
-        """Ids of distinct words: guess all, test all new pairs at once, merge where a test failed."""
+    def encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of distinct words, and how many each has: guess all, test all new pairs at once, merge where a test failed."""
         raw = [w.encode("utf-8", "surrogatepass") for w in words]
-        guesses = [self.guess(w) for w in raw]
-        lengths = np.fromiter(map(len, guesses), dtype=np.int64, count=len(guesses))
-        flat = np.fromiter((i for g in guesses for i in g), dtype=np.int64, count=int(lengths.sum()))
-        ends = np.cumsum(lengths)
-        inner = np.ones(max(len(flat) - 1, 0), dtype=bool)
-        inner[ends[:-1] - 1] = False  # no pair across two words
+        flat, lengths = self.guess(raw)
+        word = np.repeat(np.arange(len(words)), lengths)
+        inner = word[:-1] == word[1:]  # no pair across two words
         pairs, where = np.unique((flat[:-1] << 32 | flat[1:])[inner], return_inverse=True)
         unseen = np.fromiter((p not in self.verdicts for p in pairs.tolist()), dtype=bool, count=len(pairs))
         fresh = pairs[unseen]
@@ -247,18 +240,27 @@ class BytePairCodec:
             fresh = pairs
         self.verdicts.update(zip(fresh.tolist(), self.compatible(fresh >> 32, fresh & 0xFFFFFFFF).tolist(), strict=True))
         good = np.fromiter((self.verdicts[p] for p in pairs.tolist()), dtype=bool, count=len(pairs))
-        word_of = np.repeat(np.arange(len(words)), lengths)[:-1][inner]
-        failed = np.unique(word_of[~good[where]]).tolist()
+        failed = np.unique(word[:-1][inner][~good[where]])
         self.counts["guessed"] += len(words)
         self.counts["merged"] += len(failed)
-        short = [k for k in failed if len(raw[k]) <= MATRIX_WIDTH]
+        new: dict[int, list[int]] = {}
+        short = [k for k in failed.tolist() if len(raw[k]) <= MATRIX_WIDTH]
         for at in range(0, len(short), 4096):
-            for k, ids in zip(part := short[at : at + 4096], self.merge_together([raw[k] for k in part]), strict=True):
-                guesses[k] = ids
-        for k in failed:
-            if len(raw[k]) > MATRIX_WIDTH:
-                guesses[k] = self.merge(raw[k])
-        return [tuple(g) for g in guesses]
+            new |= zip(part := short[at : at + 4096], self.merge_together([raw[k] for k in part]), strict=True)
+        new |= {k: self.merge(raw[k]) for k in failed.tolist() if len(raw[k]) > MATRIX_WIDTH}
+        new |= {k: [self.special[w]] for k, w in enumerate(words) if w in self.special}
+        if not new:
+            return flat, lengths
+        # the guesses of these words give way to what merging made
+        k = np.array(sorted(new))
+        kept = ~np.isin(word, k)
+        lengths = lengths.copy()
+        lengths[k] = [len(new[i]) for i in k.tolist()]
+        out = np.empty(int(lengths.sum()), dtype=np.int64)
+        mine = np.isin(np.repeat(np.arange(len(words)), lengths), k)
+        out[~mine] = flat[kept]
+        out[mine] = [i for x in k.tolist() for i in new[x]]
+        return out, lengths
 
     def pieces(self, text: str) -> list[str]:
         """Words and literal special tokens, in order."""
@@ -269,79 +271,100 @@ class BytePairCodec:
             out += [part] if k % 2 else self.split.findall(part)
         return out
 
-    def ids_of_words(self, words: set[str]) -> dict[str, tuple[int, ...]]:
-        found, new = {}, []
-        for w in words:
-            memory, key = (self.spaced, w[1:]) if w[0] == " " and len(w) > 1 else (self.bare, w)
-            found[w] = ids = (self.special[w],) if w in self.special else memory.find(key)
-            if ids is None:
-                new.append((w, memory, key))
-        if new:
-            for (w, memory, key), ids in zip(new, self.encode_words([w for w, _, _ in new]), strict=True):
-                found[w] = ids
-                memory.keep(key, ids)
-        return found
-
-    def ids_of_units(self, units: set[str], lead: str, memory: Memory) -> dict[str, tuple[int, ...]]:
-        """Ids of texts without white space inside, each with ``lead`` before it."""
-        found = {u: memory.find(u) for u in units}
-        if new := [u for u, ids in found.items() if ids is None]:
-            split = [(lead + u,) if u.isalpha() else (lead + u[:-1], u[-1]) if u[-1] in MARKS and u[:-1].isalpha() else self.split.findall(lead + u) for u in new]
-            by_word = self.ids_of_words({w for words in split for w in words})
-            for u, words in zip(new, split, strict=True):
-                ids = by_word[words[0]]
-                if len(words) > 1:
-                    for w in words[1:]:
-                        ids += by_word[w]
-                    memory.keep(u, ids)
-                found[u] = ids
-        return found
-
-    def encode_chunk(self, batch: list[str]) -> list[list[int]]:
-        """Texts in which white space is single are taken apart at it, as no word goes across; others by the full rule."""
-        lines: list[list[list[str]] | None] = []
-        for t in batch:
-            units = t.split()
-            gaps = len(units) - 1
-            single = gaps >= 0 and sum(map(len, units)) + gaps == len(t) and t.count(" ") + t.count("\n") == gaps
-            lines.append([line.split(" ") for line in t.split("\n")] if single and not any([s in t for s in self.special]) else None)
-        odd = [None if part else self.pieces(t) for t, part in zip(batch, lines, strict=True)]
-        bare = self.ids_of_units({line[0] for part in lines if part for line in part}, "", self.bare)
-        spaced = self.ids_of_units({u for part in lines if part for line in part for u in line[1:]}, " ", self.spaced)
-        by_word = self.ids_of_words({"\n"} | {w for words in odd if words for w in words})
-        feed = by_word["\n"]
-        out = []
-        for part, words in zip(lines, odd, strict=True):
-            ids: list[int] = []
-            if part is None:
-                for w in words or ():
-                    ids += by_word[w]
-            else:
-                for k, line in enumerate(part):
-                    if k:
-                        ids += feed
-                    ids += bare[line[0]]
-                    for u in line[1:]:
-                        ids += spaced[u]
-            out.append(ids)
-        return out
+    def words_of(self, unit: str, lead: str) -> list[str]:
+        """Words of a text without white space inside, with ``lead`` before it."""
+        if unit == "\n":
+            return [unit]
+        if unit[-1] in MARKS and unit[:-1].isalpha():
+            return [lead + unit[:-1], unit[-1]]
+        return self.split.findall(lead + unit)
+
+    def encode_column(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts, and how many each has.
+
+        Texts in which white space is single spaces and line feeds, with
+        something around each, are taken apart there, as no word goes across;
+        the others follow the full rule.
+        """
+        odd = pc.match_substring_regex(column, ODD)
+        for s in self.special:
+            odd = pc.or_(odd, pc.match_substring(column, s))
+        odd = odd.to_numpy(zero_copy_only=False)
+        index: dict[str, int] = {}
+        place = lambda words: [index.setdefault(w, len(index)) for w in words]
+        rest = [place(self.pieces(t)) for t in column.filter(pa.array(odd)).to_pylist()]
+        lists = pc.split_pattern(pc.replace_substring(column.filter(pa.array(~odd)), "\n", " \n "), " ")
+        items = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+        found = lists.flatten().dictionary_encode()
+        names, code = found.dictionary.to_pylist(), found.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        feed = np.array([n == "\n" for n in names], dtype=bool)[code] if len(names) else np.zeros(0, dtype=bool)
+        bare = np.r_[True, feed[:-1]][: len(code)]
+        bare[(np.cumsum(items) - items)[items > 0]] = True
+        key = code * 2 + (bare | feed)
+        met = np.zeros(2 * len(names), dtype=bool)
+        met[key] = True
+        unit_words: list[int] = []
+        per_unit_words: list[int] = []
+        have = index.setdefault
+        for k in np.flatnonzero(met).tolist():
+            unit, lead = names[k >> 1], "" if k & 1 else " "
+            if unit.isalpha():  # most of them
+                unit_words.append(have(lead + unit, len(index)))
+                per_unit_words.append(1)
+                continue
+            words = self.words_of(unit, lead)
+            unit_words += place(words)
+            per_unit_words.append(len(words))
+        if not index:
+            return np.zeros(0, dtype=np.int64), np.zeros(len(column), dtype=np.int64)
+        ids, n = self.encode_words(list(index))
+        ends = offsets_of(n)
+        # ids of distinct units, then of the texts they are in
+        unit_ids, per_word = gathered(ids, ends, np.array(unit_words, dtype=np.int64))
+        unit_offsets = offsets_of(per_word)[offsets_of(np.array(per_unit_words, dtype=np.int64))]
+        flat, per_unit = gathered(unit_ids, unit_offsets, (np.cumsum(met) - 1)[key])
+        whole = offsets_of(per_unit)[offsets_of(items)]
+        others = [gathered(ids, ends, np.array(ws, dtype=np.int64))[0] for ws in rest]
+        count = np.zeros(len(column), dtype=np.int64)
+        count[~odd], count[odd] = np.diff(whole), list(map(len, others))
+        if not others:
+            return flat, count
+        out = np.empty(int(count.sum()), dtype=np.int64)
+        mine = np.repeat(odd, count)
+        out[~mine], out[mine] = flat, np.concatenate(others)
+        return out, count
 
     def encode_batch(self, batch: list[str]) -> list[list[int]]:
-        out, at = [], 0
-        while at < len(batch):
-            stop, size = at, 0
-            while stop < len(batch) and (stop == at or size + len(batch[stop]) <= CHUNK):
-                size += len(batch[stop])
-                stop += 1
-            out += self.encode_chunk(batch[at:stop])
-            at = stop
-        return out
+        ids, n = self.encode_column(pa.array(batch, pa.string()))
+        ends = offsets_of(n).tolist()
+        return [ids[a:b].tolist() for a, b in pairwise(ends)]
+
+    def decode_bytes(self, ids: np.ndarray, n: np.ndarray) -> list[bytes]:
+        """Bytes of texts that have ``n`` ids each."""
+        flat, size = gathered(self.token_flat, self.token_offsets, ids)
+        raw, ends = flat.tobytes(), offsets_of(size)[offsets_of(n)].tolist()
+        return [raw[a:b] for a, b in pairwise(ends)]
 
     def decode(self, ids: list[int]) -> str:
         table = self.token_bytes
         return b"".join([table[i] for i in ids]).decode("utf-8", "replace")
 
 
+def filled(column: pa.Array) -> pa.Array:
+    return pc.fill_null(column.cast(pa.string()), "")
+
+
+def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows whose texts (the second column) have about CHUNK bytes together."""
+    for b in batches:
+        size = np.cumsum(pc.fill_null(pc.binary_length(b.column(1)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        at = 0
+        while at < b.num_rows:
+            to = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + CHUNK, side="right")))
+            yield b.slice(at, to - at)
+            at = to
+
+
 _codecs: dict[str, BytePairCodec] = {}
 
 
@@ -357,9 +380,9 @@ def encode(docs: DataFrame, vocabulary: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = codec(vocabulary)
-        for b in batches:
-            ids = bpe.encode_batch(texts(b.column(1)))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "ids"])
+        for part in chunks(batches):
+            ids, n = bpe.encode_column(filled(part.column(1)))
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(offsets_of(n).astype(np.int32)), pa.array(ids.astype(np.int32)))], ["doc_id", "ids"])
 
     return map_batches(document_texts(docs), run, "doc_id long, ids array<int>")
 
@@ -384,15 +407,12 @@ def digests(docs: DataFrame, vocabulary: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = codec(vocabulary)
-        for b in batches:
-            doc, source = b.column(0), b.column(1)
-            for at in range(0, max(len(doc), 1), 256):
-                part = bpe.encode_batch(texts(source.slice(at, 256)))
-                ids_sha = [hashlib.sha256(np.array(ids, dtype="<u4").tobytes()).hexdigest() for ids in part]
-                text_sha = [hashlib.sha256(bpe.decode(ids).encode()).hexdigest() for ids in part]
-                yield pa.RecordBatch.from_arrays(
-                    [doc.slice(at, 256), pa.array([len(ids) for ids in part], pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())],
-                    ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
-                )
+        for part in chunks(batches):
+            ids, n = bpe.encode_column(filled(part.column(1)))
+            ends = (4 * offsets_of(n)).tolist()
+            raw = ids.astype("<u4").tobytes()
+            ids_sha = [hashlib.sha256(raw[a:b]).hexdigest() for a, b in pairwise(ends)]
+            text_sha = [hashlib.sha256(x.decode("utf-8", "replace").encode()).hexdigest() for x in bpe.decode_bytes(ids, n)]
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return map_batches(document_texts(docs), run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
