@@ -2,14 +2,15 @@
 
 Every write makes a new version of the node and relationship frames (a union, a
 conditional column, an anti join), cut from its lineage in the shared folder.
-Meant for small changes: CREATE and MERGE take their rows to the driver.
+CREATE adds any number of rows; MERGE is meant for few, as each row sees what
+those before it made, and takes them to the driver.
 """
 
 from __future__ import annotations
 
 from typing import Any
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -27,20 +28,16 @@ PATH = T.StructType([T.StructField("nodes", T.ArrayType(NODE_REF)), T.StructFiel
 PLACE = "_anon.place"
 
 
+def keys_columns(frame: Frame) -> list[Column]:
+    """What identifies each variable: the id of an entity, a value, the references of a path."""
+    path = lambda b: F.struct(col(b.cols["nodes"]).alias("nodes"), col(b.cols["rels"]).alias("rels"))
+    return [path(b) if b.kind == "path" else col(b.cols["value" if b.kind == "value" else "id"]) for b in frame.scope.values()]
+
+
 def keys_of(frame: Frame) -> tuple[DataFrame, Kinds]:
-    """Ids of entities and values of the rest, under the variables' own names."""
-    columns, kinds = [], {}
-    for v, b in frame.scope.items():
-        if b.kind in ("node", "rel"):
-            columns.append(col(b.cols["id"]).alias(v))
-            kinds[v] = (b.kind, b.type or T.LongType())
-        elif b.kind == "value":
-            columns.append(col(b.cols["value"]).alias(v))
-            kinds[v] = ("value", b.type)
-        else:
-            columns.append(F.struct(col(b.cols["nodes"]).alias("nodes"), col(b.cols["rels"]).alias("rels")).alias(v))
-            kinds[v] = ("path", PATH)
-    return frame.df.select(*columns) if columns else frame.df.select(F.lit(True).alias("unit")), kinds
+    """These columns under the variables' own names."""
+    kinds: Kinds = {v: (b.kind, PATH if b.kind == "path" else b.type if b.kind == "value" else b.type or T.LongType()) for v, b in frame.scope.items()}
+    return frame.df.select(*(c.alias(v) for v, c in zip(kinds, keys_columns(frame), strict=True))) if kinds else frame.df.select(F.lit(True).alias("unit")), kinds
 
 
 def bind_keys(graph: PropertyGraph, keys: DataFrame, kinds: Kinds) -> Frame:
@@ -86,15 +83,28 @@ class Writer:
         df = checkpointed(df)
         self.graph = self.graph.with_tables(nodes=df) if kind == "node" else self.graph.with_tables(rels=df)
 
-    def _insert(self, kind: str, fixed: list[tuple[str, T.DataType]], rows: list[tuple], types: dict[str, T.DataType]) -> None:
-        schema = T.StructType([*(T.StructField(n, t) for n, t in fixed), *(T.StructField(f"p_{p}", T.StringType() if isinstance(t, T.NullType) else t) for p, t in types.items())])
-        new, old = self.graph.spark.createDataFrame(rows, schema), self._table(kind)
-        for f in schema.fields:
-            if f.name in old.columns and old.schema[f.name].dataType != f.dataType:
+    def _insert(self, kind: str, new: DataFrame) -> None:
+        old = self._table(kind)
+        for f in new.schema.fields:
+            if f.name in old.columns and old.schema[f.name].dataType.simpleString() != f.dataType.simpleString():
                 t = common([old.schema[f.name].dataType, f.dataType])
                 new, old = new.withColumn(f.name, col(f.name).cast(t)), old.withColumn(f.name, col(f.name).cast(t))
         self._store(kind, old.unionByName(new, allowMissingColumns=True))
 
+    def _numbered(self, df: DataFrame, name: str) -> tuple[DataFrame, int]:
+        """``df`` written, with its rows numbered from 0 by partition, and how many there are. One count for each partition reaches the driver."""
+        df = checkpointed(df)
+        local, part = F.monotonically_increasing_id(), fresh("part")
+        df = df.withColumn(name, local.bitwiseAND(F.lit((1 << 33) - 1))).withColumn(part, F.shiftright(local, 33))
+        counts = sorted((r[0], r[1]) for r in df.groupBy(col(part)).count().collect())
+        begins, total = [], 0
+        for p, n in counts:
+            begins.append((p, total))
+            total += n
+        base = fresh("base")
+        offsets = self.graph.spark.createDataFrame(begins, T.StructType([T.StructField(part, T.LongType()), T.StructField(base, T.LongType())]))
+        return df.join(F.broadcast(offsets), part).withColumn(name, col(name) + col(base)).drop(part, base), total  # a row for each partition
+
     def _next_id(self) -> int:
         top = [self._table(k).agg(F.max("id")).first()[0] for k in ("node", "rel")]
         return max((x for x in top if x is not None), default=0) + 1
@@ -106,7 +116,7 @@ class Writer:
         low = Lowering(frame.scope, self.params)
         found = [low.value(e) for e in exprs]
         _, kinds = keys_of(frame)
-        key_columns = [F.struct(col(b.cols["nodes"]).alias("nodes"), col(b.cols["rels"]).alias("rels")) if b.kind == "path" else col(b.cols["value" if b.kind == "value" else "id"]) for b in (frame.scope[v] for v in kinds)]
+        key_columns = keys_columns(frame)
         picked = frame.df.select(*(c.alias(f"k{i}") for i, c in enumerate(key_columns)), *((c.cast("string") if isinstance(t, T.NullType) else c).alias(f"x{i}") for i, (c, t) in enumerate(found)))
         rows = picked.collect()
         n = len(key_columns)
@@ -119,36 +129,35 @@ class Writer:
     # -- clauses
 
     def create(self, frame: Frame, clause: Create) -> Frame:
+        """New entities for each row, as one union for each of the pattern's parts."""
         self._need()
         p = clause.pattern
         fresh_nodes = [n for n in p.nodes if n.var not in frame.scope]
         pats: list[NodePat | RelPat] = [*dict.fromkeys(fresh_nodes), *p.rels]
-        exprs = [e for x in pats for _, e in x.props]
-        rows, kinds, values, types = self._rows(frame, exprs)
+        if any(isinstance(x, RelPat) and x.type is None for x in pats):
+            raise QueryError("a new relationship needs a type")
+        low = Lowering(frame.scope, self.params)
+        values = {(x.var, k): low.value(e) for x in pats for k, e in x.props}
+        keys, kinds = keys_of(frame)
+        held = {at: fresh("new") for at in values}
+        named = dict(zip(keys.columns, keys_columns(frame), strict=True)) if kinds else {}
+        picked = frame.df.select(*(c.alias(v) for v, c in named.items()), *((c.cast("string") if isinstance(t, T.NullType) else c).alias(held[at]) for at, (c, t) in values.items()), F.lit(True).alias(fresh("row")))
+        number = fresh("number")
+        rows, n = self._numbered(picked, number)
         at = self._next_id()
-        place = 0
+        for k, x in enumerate(pats):
+            rows = rows.withColumn(x.var, col(number) + F.lit(at + k * n).cast("long"))
+            kinds[x.var] = ("node" if isinstance(x, NodePat) else "rel", T.LongType())
         for x in pats:
-            names = [k for k, _ in x.props]
-            mine = slice(place, place + len(names))
-            place += len(names)
-            fixed: list[tuple] = []
+            props = [col(held[x.var, key]).alias(f"p_{key}") for key, _ in x.props]
             if isinstance(x, NodePat):
-                for r in rows:
-                    fixed.append((at, list(x.labels)))
-                    r[x.var], at = at, at + 1
-                self._insert("node", [("id", T.LongType()), ("labels", T.ArrayType(T.StringType()))], [f + tuple(v[mine]) for f, v in zip(fixed, values, strict=True)], dict(zip(names, types[mine], strict=True)))
-                kinds[x.var] = ("node", T.LongType())
+                labels = F.array(*map(F.lit, x.labels)) if x.labels else F.expr("cast(array() as array<string>)")
+                self._insert("node", rows.select(col(x.var).alias("id"), labels.alias("labels"), *props))
             else:
                 k = p.rels.index(x)
                 ends = (p.nodes[k].var, p.nodes[k + 1].var) if x.direction != "in" else (p.nodes[k + 1].var, p.nodes[k].var)
-                if x.type is None:
-                    raise QueryError("a new relationship needs a type")
-                for r in rows:
-                    fixed.append((at, x.type, r[ends[0]], r[ends[1]]))
-                    r[x.var], at = at, at + 1
-                self._insert("rel", [("id", T.LongType()), ("type", T.StringType()), ("src", T.LongType()), ("dst", T.LongType())], [f + tuple(v[mine]) for f, v in zip(fixed, values, strict=True)], dict(zip(names, types[mine], strict=True)))
-                kinds[x.var] = ("rel", T.LongType())
-        return self._frame(rows, kinds)
+                self._insert("rel", rows.select(col(x.var).alias("id"), F.lit(x.type).alias("type"), col(ends[0]).cast("long").alias("src"), col(ends[1]).cast("long").alias("dst"), *props))
+        return bind_keys(self.graph, rows.select(*(col(v) for v in kinds)), kinds)
 
     def merge(self, frame: Frame, clause: Merge) -> Frame:
         """Row by row: the smallest id that fits, else a new entity."""

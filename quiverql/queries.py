@@ -65,12 +65,15 @@ def small_graph(spark: SparkSession, sf_dir: str) -> PropertyGraph:
     return PropertyGraph(spark, (_generic_nodes(n.unionByName(r)),), (_generic_rels(e),), writable=True)
 
 
-_graphs: dict[tuple[str, str, str], PropertyGraph] = {}
+_graphs: dict[tuple, PropertyGraph] = {}
 
 
 def known_graph(make: Callable[[SparkSession, str], PropertyGraph], spark: SparkSession, sf_dir: str) -> PropertyGraph:
-    """The graph over a folder, described once in a session: plans only, no rows are kept."""
-    key = (spark.sparkContext.applicationId, make.__name__, sf_dir)
+    """The graph over a folder as its tables are now, described once in a session: plans only, no rows are kept."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(sf_dir)
+    files = place.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(place)
+    state = tuple(sorted((f.getPath().getName(), f.getLen(), f.getModificationTime()) for f in files))
+    key = (spark.sparkContext.applicationId, make.__name__, sf_dir, state)
     if key not in _graphs:
         _graphs[key] = make(spark, sf_dir)
     return _graphs[key]
