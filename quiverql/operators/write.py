@@ -2,12 +2,12 @@
 
 Every write makes a new version of the node and relationship frames (a union, a
 conditional column, an anti join), cut from its lineage in the shared folder.
-CREATE adds any number of rows; MERGE is meant for few, as each row sees what
-those before it made, and takes them to the driver.
+What reaches the driver are counts by partition and the largest id.
 """
 
 from __future__ import annotations
 
+from functools import reduce
 from typing import Any
 
 from pyspark.sql import Column, DataFrame
@@ -109,23 +109,6 @@ class Writer:
         top = [self._table(k).agg(F.max("id")).first()[0] for k in ("node", "rel")]
         return max((x for x in top if x is not None), default=0) + 1
 
-    # -- rows
-
-    def _rows(self, frame: Frame, exprs: list[Expr]) -> tuple[list[dict], Kinds, list[list], list[T.DataType]]:
-        """The frame's rows (keys by variable), and the values of expressions for each."""
-        low = Lowering(frame.scope, self.params)
-        found = [low.value(e) for e in exprs]
-        _, kinds = keys_of(frame)
-        key_columns = keys_columns(frame)
-        picked = frame.df.select(*(c.alias(f"k{i}") for i, c in enumerate(key_columns)), *((c.cast("string") if isinstance(t, T.NullType) else c).alias(f"x{i}") for i, (c, t) in enumerate(found)))
-        rows = picked.collect()
-        n = len(key_columns)
-        return [dict(zip(kinds, r[:n], strict=True)) for r in rows], kinds, [list(r[n:]) for r in rows], [t for _, t in found]
-
-    def _frame(self, rows: list[dict], kinds: Kinds) -> Frame:
-        schema = T.StructType([T.StructField(v, T.StringType() if isinstance(t, T.NullType) else t) for v, (_, t) in kinds.items()])
-        return bind_keys(self.graph, self.graph.spark.createDataFrame([tuple(r[v] for v in kinds) for r in rows], schema), kinds)
-
     # -- clauses
 
     def create(self, frame: Frame, clause: Create) -> Frame:
@@ -160,67 +143,73 @@ class Writer:
         return bind_keys(self.graph, rows.select(*(col(v) for v in kinds)), kinds)
 
     def merge(self, frame: Frame, clause: Merge) -> Frame:
-        """Row by row: the smallest id that fits, else a new entity."""
+        """For each row the smallest id that fits, else a new entity, which rows with the same values share; the first of them counts as its maker."""
         self._need()
         p = clause.pattern
+        low = Lowering(frame.scope, self.params)
+        nodes = list({n.var: n for n in p.nodes if n.var not in frame.scope}.values())
+        values = {(x.var, k): low.value(e) for x in [*nodes, *p.rels] for k, e in x.props}
+        held = {at: fresh("new") for at in values}
         keys, kinds = keys_of(frame)
-        done, created = [], []
-        names = list(kinds)
-        for row in keys.collect():
-            r = {v: row[v] for v in names}
-            one = self._frame([r], dict(kinds)) if kinds else frame
-            made = False
-            for n in p.nodes:
-                if n.var in r:
-                    continue
-                found = None if p.rels and n.bare else self._find_node(one, n)
-                if found is None:
-                    out = self.create(one, Create(type(p)((n,))))
-                    found, made = self._rows(out, [])[0][0][n.var], True
-                r[n.var] = found
-                one = self._frame([r], {**kinds, **{x.var: ("node", T.LongType()) for x in p.nodes if x.var in r}})
-            for k, x in enumerate(p.rels):
-                a, b = (p.nodes[k].var, p.nodes[k + 1].var) if x.direction != "in" else (p.nodes[k + 1].var, p.nodes[k].var)
-                found = self._find_rel(one, x, r[a], r[b])
-                made = found is None
-                if made:
-                    out = self.create(one, Create(type(p)((NodePat(a), NodePat(b)), (RelPat(x.var, x.type, x.props),))))
-                    found = self._rows(out, [])[0][0][x.var]
-                r[x.var] = found
-            done.append(r)
-            created.append(made)
-        all_kinds = {**kinds, **{n.var: ("node", T.LongType()) for n in p.nodes}, **{x.var: ("rel", T.LongType()) for x in p.rels}}
+        named = dict(zip(keys.columns, keys_columns(frame), strict=True)) if kinds else {}
+        columns = [*(c.alias(v) for v, c in named.items()), *((c.cast("string") if isinstance(t, T.NullType) else c).alias(held[at]) for at, (c, t) in values.items())]
+        number, made = fresh("number"), fresh("made")
+        rows, n = self._numbered(frame.df.select(*columns, F.lit(False).alias(made)), number)
+        at = self._next_id()
+        for k, x in enumerate([*nodes, *p.rels]):
+            node = isinstance(x, NodePat)
+            given = {key: (held[x.var, key], values[x.var, key][1]) for key, _ in x.props}
+            if node:
+                table, where = self._table("node"), {}
+                for label in x.labels:
+                    table = table.where(F.array_contains("labels", label))
+                fixed = [(F.array(*map(F.lit, x.labels)) if x.labels else F.expr("cast(array() as array<string>)")).alias("labels")]
+            else:
+                place = p.rels.index(x)
+                ends = [p.nodes[place].var, p.nodes[place + 1].var][:: 1 if x.direction != "in" else -1]
+                table, where = self._table("rel"), dict(zip(("src", "dst"), ends, strict=True))
+                if x.type is not None:
+                    table = table.where(F.col("type") == x.type)
+                fixed = [F.lit(x.type).alias("type"), *(col(e).cast("long").alias(c) for c, e in where.items())]
+            found = fresh("found")
+            rows = rows.withColumn(found, F.lit(None).cast("long")) if node and p.rels and x.bare else self._least(rows, table, where, given, found)
+            apart = [*where.values(), *(h for h, _ in given.values())] if not (node and p.rels and x.bare) else [number]
+            # of the rows with the same values the first makes the entity
+            first, again = fresh("first"), {c: fresh("same") for c in apart}
+            makers = rows.where(col(found).isNull()).groupBy(*map(col, apart)).agg(F.min(col(number)).alias(first)) if apart else rows.where(col(found).isNull()).agg(F.min(col(number)).alias(first))
+            makers = makers.select(*(col(c).alias(m) for c, m in again.items()), col(first))
+            on = reduce(lambda a, b: a & b, (col(c).eqNullSafe(col(m)) for c, m in again.items()), F.lit(True))
+            rows = rows.join(makers, on & col(found).isNull(), "left").drop(*again.values())
+            maker = col(found).isNull() & (col(number) == col(first))
+            rows = rows.withColumn(made, maker).withColumn(x.var, F.coalesce(col(found), col(first) + F.lit(at + k * n)).cast("long")).drop(found, first)
+            rows = checkpointed(rows)
+            kinds[x.var] = ("node" if node else "rel", T.LongType())
+            fresh_rows = rows.where(col(made)).select(col(x.var).alias("id"), *fixed, *(col(h).alias(f"p_{key}") for key, (h, _) in given.items()))
+            if not fresh_rows.isEmpty():
+                if not node and x.type is None:
+                    raise QueryError("a new relationship needs a type")
+                self._insert("node" if node else "rel", fresh_rows)
         for flag, items in ((True, clause.on_create), (False, clause.on_match)):
-            part = [r for r, made in zip(done, created, strict=True) if made == flag]
-            if items and part:
-                self.set(self._frame(part, all_kinds), SetProps(items))
-        return self._frame(done, all_kinds)
-
-    def _same(self, df: DataFrame, one: Frame, props: tuple[tuple[str, Expr], ...]) -> DataFrame:
-        if not props:
-            return df
-        _, _, values, types = self._rows(one, [e for _, e in props])
-        for (key, _), v, t in zip(props, values[0], types, strict=True):
-            name = f"p_{key}"
-            if name not in df.columns:
-                df = df.where(F.lit(v is None))
-            elif not comparable(df.schema[name].dataType, t):
-                df = df.where(F.lit(False))
+            part = rows.where(col(made) == F.lit(flag)).select(*map(col, kinds))
+            if items and not part.isEmpty():
+                self.set(bind_keys(self.graph, part, kinds), SetProps(items))
+        return bind_keys(self.graph, rows.select(*map(col, kinds)), kinds)
+
+    def _least(self, rows: DataFrame, table: DataFrame, where: dict[str, str], given: dict[str, tuple[str, T.DataType]], name: str) -> DataFrame:
+        """``rows`` with the least id of the table's rows that have these values (``where``: column to a row's column; ``given``: property to one)."""
+        pairs, guard = dict(where), F.lit(True)
+        for key, (h, t) in given.items():
+            if f"p_{key}" not in table.columns:
+                guard = guard & col(h).isNull()
+            elif not comparable(table.schema[f"p_{key}"].dataType, t):
+                guard = F.lit(False)
             else:
-                df = df.where(col(name).eqNullSafe(F.lit(v)))
-        return df
-
-    def _find_node(self, one: Frame, n: NodePat) -> int | None:
-        df = self._table("node")
-        for label in n.labels:
-            df = df.where(F.array_contains("labels", label))
-        return self._same(df, one, n.props).agg(F.min("id")).first()[0]
-
-    def _find_rel(self, one: Frame, x: RelPat, a: int, b: int) -> int | None:
-        df = self._table("rel").where((F.col("src") == a) & (F.col("dst") == b))
-        if x.type is not None:
-            df = df.where(F.col("type") == x.type)
-        return self._same(df, one, x.props).agg(F.min("id")).first()[0]
+                pairs[f"p_{key}"] = h
+        again = {c: fresh("fits") for c in pairs}
+        best = table.groupBy(*(col(c).alias(again[c]) for c in pairs)).agg(F.min("id").cast("long").alias(name))
+        on = reduce(lambda a, b: a & b, (col(again[c]).eqNullSafe(col(h)) for c, h in pairs.items()), F.lit(True))
+        found = rows.join(best, on, "left").drop(*again.values())  # a row for each key of the table: no row of ours is multiplied
+        return found.withColumn(name, F.when(guard, col(name)))
 
     def set(self, frame: Frame, clause: SetProps) -> Frame:
         """Items take effect from left to right; a new property is a new column."""

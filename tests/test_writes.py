@@ -39,6 +39,19 @@ def test_merge(gardens):
     assert values(gardens, "MATCH (a)-[r:LIKES]->(g) RETURN a.name + g.name + r.since AS x") == ["NewLoam2020"]
 
 
+def test_merge_of_many_rows(gardens):
+    gardens.run("MATCH (k:Keeper)-[:TENDS]->(g) MERGE (y:Year {at: g.opened}) ON CREATE SET y.new = 1 ON MATCH SET y.again = 1")
+    assert sorted(map(tuple, gardens.run("MATCH (y:Year) RETURN y.at AS a, y.new AS n, y.again AS g").collect())) == [(1987, 1, None), (2006, 1, 1)]
+    gardens.run("MATCH (k:Keeper)-[:TENDS]->(g), (s:Soil) MERGE (g)-[r:NEEDS {much: k.name}]->(s)")
+    assert values(gardens, "MATCH (g)-[r:NEEDS]->(s) RETURN g.plot + r.much AS x") == ["Mill YardMira", "Mill YardOto", "North PlotMira"]
+    gardens.run("MATCH (g:Garden), (s:Soil) MERGE (g)-[r:NEEDS]->(s) ON MATCH SET r.old = true ON CREATE SET r.old = false")
+    assert values(gardens, "MATCH ()-[r:NEEDS]->() RETURN r.old AS x") == [None, True, True]
+    gardens.run("MATCH (k:Keeper) MERGE (k)-[r:OWNS]->(t)")
+    assert values(gardens, "MATCH (k)-[:OWNS]->(t) RETURN k.name AS x") == ["Ines", "Mira", "Oto"]
+    gardens.run("MERGE (n:Keeper {unheard: null})")
+    assert values(gardens, "MATCH (n:Keeper) RETURN count(*) AS x") == [3]
+
+
 def test_set(gardens):
     assert values(gardens, "MATCH (m:Garden) SET m.opened = m.opened + 1, m.next = m.opened + 1 RETURN m.next AS x") == [1989, 2008]
     gardens.run("MATCH (a {name:'Mira'})-[r:TENDS]->(m) SET r.task = 'X'")
