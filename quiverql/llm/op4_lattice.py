@@ -47,12 +47,14 @@ from .trie import Trie, laid_out
 #: Passes of expectation maximisation.
 ROUNDS = 2
 #: Most words that are broadcast, and distinct words that a task holds before it sends their counts on.
-FREQUENT, HELD = 150_000, 400_000
+FREQUENT, HELD = 150_000, 300_000
 #: Added to the expected count of single bytes and of other pieces.
 FLOOR_BYTE, FLOOR_PIECE = 0.5, 1e-3
 #: Bytes of one lattice block, and documents that are looked at together.
 CELLS, CHUNK = 250_000, 512
 WHITE = b" \t\n\x0b\x0c\r"
+#: Frequent words with their counts and log probabilities.
+Hot = tuple[pa.Array, np.ndarray, np.ndarray]
 
 
 def held_out(doc_id: Column) -> Column:
@@ -277,8 +279,8 @@ def weighed(counts: DataFrame, lattice: Lattice, total: int, distinct: int, disc
     return map_batches(counts.select("word", "c", "n"), run, "word binary, c long, n long, q double")
 
 
-def frequent(counts: DataFrame, most: int = FREQUENT) -> dict[bytes, tuple[int, float]]:
-    """Counts and q of the words that are most frequent anywhere: as many eighths of octaves of the count as hold ``most`` words together. Which words these are changes no score."""
+def frequent(counts: DataFrame, most: int = FREQUENT) -> Hot:
+    """The words, with counts and q, that are most frequent anywhere: as many eighths of octaves of the count as hold ``most`` words together. Which words these are changes no score."""
     step = F.floor(F.log2(F.col("n").cast("double")) * 8).cast("int")
     held, least = 0, None
     for r in counts.groupBy(step.alias("step")).count().orderBy(F.desc("step")).collect():  # at most 512 rows
@@ -286,17 +288,18 @@ def frequent(counts: DataFrame, most: int = FREQUENT) -> dict[bytes, tuple[int,
             break
         held, least = held + r["count"], r.step
     if least is None:
-        return {}
-    found = counts.where(step >= least).select("word", "c", "q").toArrow()
-    return dict(zip(found.column(0).to_pylist(), zip(found.column(1).to_pylist(), found.column(2).to_pylist(), strict=True), strict=True))
+        return pa.array([], pa.binary()), np.zeros(0, dtype=np.int64), np.zeros(0)
+    found = counts.where(step >= least).select("word", "c", "q").toArrow().combine_chunks()
+    return pa.concat_arrays(found.column(0).chunks), found.column(1).to_numpy(), found.column(2).to_numpy()
 
 
-def scored(hot: dict[bytes, tuple[int, float]], column: pa.Array) -> tuple[np.ndarray | pa.Array, ...]:
+def scored(hot: Hot, column: pa.Array) -> tuple[np.ndarray | pa.Array, ...]:
     """Of each text: words, sums over its frequent words of q, log10(c + 0.5) and known words, and its other words."""
     flat, per = split_words(column)
     found = flat.dictionary_encode()
-    pairs = [hot.get(w, (-1, 0.0)) for w in found.dictionary.to_pylist()]
-    c, q = np.array([c for c, _ in pairs], dtype=np.int64), np.array([q for _, q in pairs], dtype=np.float64)
+    words, counts, weights = hot
+    at = pc.fill_null(pc.index_in(found.dictionary, value_set=words), -1).to_numpy(zero_copy_only=False)
+    c, q = np.r_[counts, -1][at], np.r_[weights, 0.0][at]  # -1: the entry after the last, for words that are not among them
     code = found.indices.to_numpy(zero_copy_only=False)
     text = np.repeat(np.arange(len(column)), per)
     total = lambda x: np.bincount(text, weights=x[code], minlength=len(column))

@@ -128,7 +128,9 @@ def test_frequent_words_are_bounded(docs_of):
 
     docs = docs_of([(i, "a " * (i % 9) + f"w{i}") for i in range(100)]).select("doc_id", "text", F.lit(False).alias("held_out"))
     counts = word_counts(docs).withColumn("q", F.lit(-1.5))
-    assert frequent(counts, 50) == {b"a": (sum(i % 9 for i in range(100)), -1.5)} and frequent(counts, 0) == {} and len(frequent(counts, 1000)) == 101
+    words, c, q = frequent(counts, 50)
+    assert (words.to_pylist(), c.tolist(), q.tolist()) == ([b"a"], [sum(i % 9 for i in range(100))], [-1.5])
+    assert len(frequent(counts, 0)[0]) == 0 and len(frequent(counts, 1000)[0]) == 101
 
 
 def test_odd_rows_and_empty(odd_docs, docs_of):
