@@ -2,21 +2,23 @@
 
 Passages (overlapping windows of words, twice as long as the items they are
 held against) are TF-IDF vectors over the words of the benchmark. A randomised
-SVD, whose products with the passage matrix are summed over the partitions of a
-bounded sample of documents, gives a latent space; windows are projected and
+SVD, whose products with the passage matrix are summed over the partitions of all
+documents, gives a latent space; windows are projected and
 compared by cosine with the items. Pairs above a low cosine are confirmed by
 their longest common subsequence of words: nearly all of the item, or most of it
 together with its answer (its last sentence), so that paraphrases count and
 chance does not.
 
-Weights and the sample cannot lose a leak, because a bound on the windows is
+Weights and the latent space cannot lose a leak, because a bound on the windows is
 exact: a window that can be confirmed has all but a few words of the item, so it
 holds at least ``SHARED`` of the item's rarest words once those that may be
 missing are added to their number. Windows of every document are held against
 that bound; those that pass it for some item are projected, and an item for
 which they pass it is a candidate whatever the cosine.
 
-Document frequencies are counted over all documents. All blocks of items are searched for in one
+Document frequencies are counted, and the latent space is fitted, over all documents:
+they are parsed once for a block of items, and the places of the block's words are
+written for the passes of the fit. All blocks of items are searched for in one
 pass over the documents; the items of a block share one fit. The window grid contains
 every stretch as long as an item in full, whatever its place.
 
@@ -36,15 +38,16 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Written, document_texts, map_batches
 
-#: Documents that the latent space is fitted on (those with the smallest hashes), its dimensions, and passes over the sample.
-SAMPLE, DIMENSIONS, PASSES = 3_000, 96, 2
-#: Partitions of the sample: as many blocks of terms x dimensions reach the driver in a pass.
-SAMPLE_PARTS = 4
+#: Dimensions of the latent space, and passes over the documents that fit it.
+DIMENSIONS, PASSES = 96, 2
+#: Words of half a passage of the fit, passages that are summed together, terms of a row of partial sums.
+HALF, PASSAGES, TERMS = 32, 1_024, 256
 #: Items that share a latent space, documents that are looked at together, cells (documents x terms) of a block, windows that are compared together.
 ITEMS, CHUNK, CELLS, WINDOWS = 1_024, 256, 8_000_000, 4_096
 #: A word in more than this share of the documents carries no weight, unless an item has too few others.
@@ -248,7 +251,35 @@ def _parts(b: pa.RecordBatch, rows: int) -> Iterator[pa.RecordBatch]:
         yield b.slice(at, rows)
 
 
-def _frequencies(docs: DataFrame, items: Items) -> tuple[np.ndarray, int]:
+def _binary(values: np.ndarray, begin: np.ndarray) -> pa.Array:
+    """Rows of 32-bit integers as bytes; row k has ``values[begin[k]:begin[k + 1]]``."""
+    return pa.Array.from_buffers(pa.binary(), len(begin) - 1, [None, pa.py_buffer((4 * begin).astype(np.int32)), pa.py_buffer(values.astype(np.int32))])
+
+
+def _flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The integers of all rows of ``_binary``, and where each row begins."""
+    _, offsets, data = column.cast(pa.binary()).buffers()
+    begin = np.frombuffer(offsets, np.int32, len(column) + 1, 4 * column.offset) // 4
+    return np.frombuffer(data or b"", np.int32, begin[-1])[begin[0] :], begin - begin[0]
+
+
+def _hits(docs: DataFrame, items: Items) -> DataFrame:
+    """For each document the terms of its words, in order, and how many of them are in each stretch of ``HALF`` words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for part in _parts(b, CHUNK):
+                ids, begin = items.ids_of(part.column(0))
+                n = -(-np.diff(begin) // HALF)
+                first = np.r_[0, np.cumsum(n)]
+                start = np.repeat(begin[:-1], n) + (np.arange(first[-1]) - np.repeat(first[:-1], n)) * HALF
+                before = np.r_[0, np.cumsum(ids >= 0)]
+                yield pa.RecordBatch.from_arrays([_binary(ids[ids >= 0], before[begin]), _binary(np.diff(before[np.r_[start, len(ids)]]), first)], ["terms", "halves"])
+
+    return map_batches(docs.select("text"), run, "terms binary, halves binary")
+
+
+def _frequencies(hits: DataFrame, items: Items) -> tuple[np.ndarray, int]:
     """In how many documents each term is, and the number of documents."""
     size = len(items.terms)
 
@@ -258,15 +289,15 @@ def _frequencies(docs: DataFrame, items: Items) -> tuple[np.ndarray, int]:
         for b in batches:
             n += b.num_rows
             for part in _parts(b, rows):
-                ids, begin = items.ids_of(part.column(1))
+                term, begin = _flat(part.column(0))
                 met = np.zeros((part.num_rows, size), dtype=bool)
-                met[np.repeat(np.arange(part.num_rows), np.diff(begin))[ids >= 0], ids[ids >= 0]] = True
+                met[np.repeat(np.arange(part.num_rows), np.diff(begin)), term] = True
                 df += met.sum(axis=0)
         some = np.flatnonzero(df)
         yield pa.RecordBatch.from_arrays([pa.array(np.r_[-1, some].astype(np.int32)), pa.array(np.r_[n, df[some]].astype(np.int64))], ["term", "n"])
 
     out, documents = np.zeros(size), 0
-    for r in map_batches(docs, run, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).collect():  # a row for each benchmark word
+    for r in map_batches(hits.select("terms"), run, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).collect():  # a row for each benchmark word
         if r.term < 0:
             documents = r.n
         else:
@@ -274,47 +305,79 @@ def _frequencies(docs: DataFrame, items: Items) -> tuple[np.ndarray, int]:
     return out, documents
 
 
-def _product(sample: DataFrame, items: Items, omega: np.ndarray) -> np.ndarray:
-    """A'A omega for the passages of the sample, summed over its partitions."""
-    weight = items.weight
+def _add(total: np.ndarray, table: np.ndarray, weight: np.ndarray, term: np.ndarray, halves: np.ndarray, first: np.ndarray) -> None:
+    """Add A'A omega of the passages of some documents to ``total``; a passage is two halves side by side, or a short text's only one."""
+    half = np.repeat(np.arange(len(halves)), halves)
+    real = weight[term] > 0
+    term, half = term[real], half[real]
+    halves = np.bincount(half, minlength=len(halves))
+    begin = np.r_[0, np.cumsum(halves)]
+    last = np.zeros(len(halves), dtype=bool)
+    last[first[1:][np.diff(first) > 0] - 1] = True
+    only = np.zeros(len(halves), dtype=bool)
+    only[first[:-1][np.diff(first) == 1]] = True
+    left = np.flatnonzero(~last | only)
+    for at in range(0, len(left), PASSAGES):
+        one = left[at : at + PASSAGES]
+        two = one[~only[one]] + 1
+        low, high = one[0], max(one[-1], two[-1] if len(two) else 0) + 1
+        n = halves[low:high]
+        some = slice(begin[low], begin[high])
+        if not n.any():
+            continue
+        sums = np.zeros((high - low, table.shape[1]))
+        sums[n > 0] = np.add.reduceat(table[term[some]], (begin[low:high] - begin[low])[n > 0], axis=0)
+        y, size = sums[one - low], n[one - low]
+        y[~only[one]] += sums[two - low]
+        size[~only[one]] += n[two - low]
+        y /= np.maximum(size, 1)[:, None]  # long windows weigh no more than short ones
+        sums[:] = 0
+        sums[one - low] = y
+        sums[two - low] += y[~only[one]]
+        order = np.argsort(term[some], kind="stable")
+        names, where = np.unique(term[some][order], return_index=True)
+        total[names] += weight[names][:, None] * np.add.reduceat(sums[half[some][order] - low], where, axis=0)
+
+
+def _product(hits: DataFrame, items: Items, omega: np.ndarray) -> np.ndarray:
+    """A'A omega for the passages of all documents, summed over their partitions in order."""
+    weight, shape = items.weight, omega.shape
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(omega.shape)
+        total = np.zeros(shape)
         table = weight[:, None] * omega
         for b in batches:
             for part in _parts(b, CHUNK):
-                ids, begin = items.ids_of(part.column(1))
-                hit = np.flatnonzero((ids >= 0) & (weight[ids] > 0))
-                term = ids[hit]
-                sums = np.concatenate([np.zeros((1, omega.shape[1])), np.cumsum(table[term], axis=0)])
-                _, start, stop = windows(begin, 64)
-                lo, hi = np.searchsorted(hit, start), np.searchsorted(hit, stop)
-                n = hi - lo
-                y = (sums[hi] - sums[lo]) / np.maximum(n, 1)[:, None]  # long windows weigh no more than short ones
-                of = np.repeat(np.arange(len(n)), n)
-                where = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo, n)
-                np.add.at(total, term[where], weight[term[where]][:, None] * y[of])
-        yield pa.RecordBatch.from_arrays([pa.array([total.astype(np.float32).tobytes()], pa.binary())], ["part"])
-
-    total = np.zeros(omega.shape)
-    for r in map_batches(sample, run, "part binary").collect():  # SAMPLE_PARTS blocks of terms x dimensions
-        total += np.frombuffer(r.part, dtype=np.float32).reshape(omega.shape)
+                _add(total, table, weight, _flat(part.column(0))[0], *_flat(part.column(1)))
+        at = [k for k in range(0, len(total), TERMS) if total[k : k + TERMS].any()]
+        task = pa.array([TaskContext.get().partitionId()] * len(at), pa.int32())
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), task, pa.array([total[k : k + TERMS].tobytes() for k in at], pa.binary())], ["at", "task", "part"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for b in batches:
+            for at, part in zip(b.column(0).to_pylist(), b.column(2), strict=True):
+                sums[at] = sums.get(at, 0) + np.frombuffer(part.as_buffer())
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], ["at", "part"])
+
+    total = np.zeros(shape)
+    parts = map_batches(hits, run, "at int, task int, part binary").repartition("at").sortWithinPartitions("at", "task")
+    for r in map_batches(parts, add, "at int, part binary").collect():  # terms x dimensions numbers, whatever the partitions
+        total[r.at : r.at + TERMS] = np.frombuffer(r.part).reshape(-1, shape[1])
     return total
 
 
 def _fit(docs: DataFrame, items: Items) -> None:
-    df, documents = _frequencies(docs, items)
-    items.weigh(df, documents)
-    ids = docs.select("doc_id").where("doc_id is not null").orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE).distinct()
-    sample = Written(docs.join(F.broadcast(ids), "doc_id").select("doc_id", "text").coalesce(SAMPLE_PARTS))  # at most SAMPLE ids
+    hits = Written(_hits(docs, items))
+    items.weigh(*_frequencies(hits.df, items))
     own = items.matrix()
     own /= np.maximum(np.linalg.norm(own, axis=1), 1e-12)[:, None]
     q = np.random.default_rng(10).normal(size=(len(items.terms), min(DIMENSIONS, len(items.terms))))
     for _ in range(PASSES):
-        y = _product(sample.df.coalesce(SAMPLE_PARTS), items, q)
-        y = y / max(np.linalg.norm(y), 1e-12) + (z := own.T @ (own @ q)) / max(np.linalg.norm(z), 1e-12)  # items weigh as much as the sample
+        y = _product(hits.df, items, q)
+        y = y / max(np.linalg.norm(y), 1e-12) + (z := own.T @ (own @ q)) / max(np.linalg.norm(z), 1e-12)  # items weigh as much as the documents
         q = np.linalg.qr(y)[0]
-    sample.drop()
+    hits.drop()
     items.basis = q
     items.prepare()
 

@@ -4,7 +4,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from quiverql.llm.op10_decontam import Items, clean, common_length, detectors, masks_of, search, windows, words_of
+from quiverql.llm.op10_decontam import DIMENSIONS, PASSES, Items, clean, common_length, detectors, masks_of, search, windows, words_of
 
 rng = random.Random(10)
 WORD = lambda: "".join(rng.choice(["ta", "lo", "mi", "er", "un", "sé"]) for _ in range(rng.randint(1, 4)))
@@ -124,6 +124,49 @@ def test_search_is_brute_force_over_all_windows(spark, docs_of):
     assert (0, 20) in want and 50 < len(want) < 110
 
 
+def fitted(rows, bench):
+    """Items fitted in plain numpy on every passage of every row."""
+    items = Items(bench)
+    ids, begin = items.ids_of(pa.array([t for _, t in rows], pa.string()))
+    spans = list(zip(begin, begin[1:]))
+    items.weigh(np.array([sum(t in ids[a:b] for a, b in spans) for t in range(len(items.terms))], dtype=float), len(rows))
+    passages = np.zeros((0, len(items.terms)))
+    for _, a, b in zip(*windows(begin, 64), strict=True):
+        n = np.bincount(ids[a:b][ids[a:b] >= 0], minlength=len(items.terms)) * (items.weight > 0)
+        passages = np.vstack([passages, n * items.weight / max(n.sum(), 1) ** 0.5])
+    own = items.matrix()
+    own /= np.maximum(np.linalg.norm(own, axis=1), 1e-12)[:, None]
+    q = np.random.default_rng(10).normal(size=(len(items.terms), min(DIMENSIONS, len(items.terms))))
+    for _ in range(PASSES):
+        y, z = passages.T @ (passages @ q), own.T @ (own @ q)
+        q = np.linalg.qr(y / np.linalg.norm(y) + z / np.linalg.norm(z))[0]
+    items.basis = q
+    items.prepare()
+    return items
+
+
+def many_rows():
+    """More rows than any sample had (3,000), of no word to several passages, and items of their words."""
+    some = random.Random(21)
+    words = [f"v{i}" for i in range(600)]
+    rows = [(i, None if i == 5 else " ".join(some.choices([*words, "x", "y"], k=some.choice([0, 1, 6, 6, 6, 6, 32, 33, 65, 130])))) for i in range(3_400)]
+    rows += [(None, " ".join(some.choices(words, k=40))), rows[9]]
+    bench = [(i, " ".join(some.sample(words, 20))) for i in range(12)]
+    return rows + [(4_000 + i, "y " * (31 + i) + t) for i, t in bench], bench
+
+
+def test_fit_is_over_all_documents(spark, docs_of):
+    """Latent space and cosines against a fit on every passage: no row is left out."""
+    rows, bench = many_rows()
+    want = fitted(rows, bench)
+    frame = spark.createDataFrame(bench, "item_id long, text string")
+    (got,) = detectors(docs_of(rows), frame)
+    assert np.allclose(got.weight, want.weight) and np.allclose(got.basis, want.basis, atol=1e-6)
+    hits = {(r.doc_id, r.item_id): r.cosine for r in search(docs_of(rows), frame).collect()}
+    plain = {(rows[t][0], want.ids[k]): v[0] for t, found in enumerate(want.find(pa.array([t for _, t in rows], pa.string()))) for k, v in found.items()}
+    assert len(hits) == len(bench) and hits.keys() == plain.keys() and all(abs(hits[k] - plain[k]) < 1e-5 for k in hits)
+
+
 def test_common_subsequence():
     for _ in range(50):
         a, b = ([rng.randrange(6) for _ in range(rng.randint(0, 30))] for _ in range(2))
