@@ -1,10 +1,13 @@
 import random
 
+import numpy as np
+
 import corpus_pipeline
-from quiverql.llm import catalog
+from quiverql.llm import catalog, op10_decontam
 from quiverql.llm.op2_bpe import codec
 
 from .conftest import ODD_ROWS
+from .test_op10_decontam import fitted, many_rows
 
 
 def test_stages_on_planted_cases(spark, tmp_path, docs_of):
@@ -34,6 +37,18 @@ def test_stages_on_planted_cases(spark, tmp_path, docs_of):
     assert got == {i: len(bpe.encode_batch([t])[0]) for i, t in left[3].items()}
 
 
+def test_decontamination_is_fitted_on_all_rows_of_the_stage(spark, tmp_path, docs_of, monkeypatch):
+    rows, bench = many_rows()
+    spark.createDataFrame(bench, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    made, plain = [], op10_decontam.detectors
+    monkeypatch.setattr(op10_decontam, "detectors", lambda *frames: made.append(plain(*frames)) or made[-1])
+    kept = corpus_pipeline.decontamination(spark, docs_of(rows), str(tmp_path)).collect()
+    want = fitted(rows, bench)
+    ((got,),) = made
+    assert np.allclose(got.weight, want.weight) and np.allclose(got.basis, want.basis, atol=1e-6)
+    assert sorted((str(r.doc_id), r.text or "") for r in kept) == sorted((str(i), t or "") for i, t in rows if not (i or 0) >= 4_000)
+
+
 def test_odd_rows(spark, tmp_path, docs_of):
     for rows in (ODD_ROWS, []):
         d = f"{tmp_path}/{len(rows)}"
