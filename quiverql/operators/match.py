@@ -27,11 +27,12 @@ def fresh(name: str) -> str:
 
 @dataclass(frozen=True)
 class Frame:
-    """Rows of bindings. ``unit``: one row and nothing bound."""
+    """Rows of bindings. ``unit``: one row and nothing bound. ``weight``: a column with the number of matches that a row stands for."""
 
     df: DataFrame
     scope: Scope
     unit: bool = False
+    weight: str | None = None
 
     def where(self, condition: Column) -> Frame:
         return replace(self, df=self.df.where(condition), unit=False)

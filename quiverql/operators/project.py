@@ -39,21 +39,26 @@ def ordered(order: list[tuple[Column, bool]]) -> list[Column]:
     return [c.desc_nulls_last() if down else c.asc_nulls_last() for c, down in order]
 
 
-def aggregate_column(a: Agg, low: Lowering, scope: dict[str, Bound]) -> Typed:
+def aggregate_column(a: Agg, low: Lowering, scope: dict[str, Bound], weight: str | None = None) -> Typed:
+    """``weight``: a column with the number of matches that a row stands for, at least 1."""
+
+    def count(c: Column) -> Column:
+        return F.count(c) if weight is None else F.coalesce(F.sum(F.when(c.isNotNull(), col(weight))), F.lit(0).cast("long"))
+
     if a.arg is None:
         if a.name != "count":
             raise QueryError(f"{a.name}(*) is not defined")
         if not a.distinct:
-            return F.count(F.lit(1)), T.LongType()
+            return count(F.lit(1)), T.LongType()
         keys = [col(c) for b in scope.values() for c in b.keys()]
         return F.count_distinct(F.struct(*keys)) if keys else F.count_distinct(F.lit(1)), T.LongType()
     b = scope.get(a.arg.name) if isinstance(a.arg, Var) and a.arg.name not in low.aliases else None
     if a.name == "count" and b and b.kind in ("node", "rel") and not (b.kind == "rel" and b.type is None and a.distinct):
         key = F.when(col(b.cols["table"]).isNotNull(), F.struct(*map(col, b.keys()))) if a.distinct else col(b.cols["table"])
-        return (F.count_distinct(key) if a.distinct else F.count(key)), T.LongType()
+        return (F.count_distinct(key) if a.distinct else count(key)), T.LongType()
     c, t = low.value(a.arg)
     if a.name == "count":
-        return (F.count_distinct(c) if a.distinct else F.count(c)), T.LongType()
+        return (F.count_distinct(c) if a.distinct else count(c)), T.LongType()
     if a.name == "collect":
         return (F.collect_set(c) if a.distinct else F.collect_list(c)), T.ArrayType(t)
     if a.name in ("min", "max"):
@@ -61,9 +66,12 @@ def aggregate_column(a: Agg, low: Lowering, scope: dict[str, Bound]) -> Typed:
     if not numeric(t):
         return (F.lit(0).cast("long") if a.name == "sum" else F.max(F.lit(None).cast("double"))), T.LongType() if a.name == "sum" else T.DoubleType()
     if a.name == "avg":
+        if weight is not None and not a.distinct:
+            return F.try_divide(F.sum(c.cast("double") * col(weight)), count(c)), T.DoubleType()
         return (F.try_divide(F.sum_distinct(c.cast("double")), F.count_distinct(c)) if a.distinct else F.avg(c)), T.DoubleType()
     whole = T.LongType() if isinstance(t, T.IntegralType) else T.DoubleType()
-    return F.coalesce((F.sum_distinct if a.distinct else F.sum)(c.cast(whole)), F.lit(0).cast(whole)), whole
+    c = c.cast(whole) if weight is None or a.distinct else c.cast(whole) * col(weight)
+    return F.coalesce((F.sum_distinct if a.distinct else F.sum)(c), F.lit(0).cast(whole)), whole
 
 
 class Projector:
@@ -148,7 +156,7 @@ class Projector:
                 group_values[it.expr] = (col(bound.cols["value"]), bound.type)
         made, agg_cols = {}, []
         for a in aggs:
-            c, t = aggregate_column(a, low, frame.scope)
+            c, t = aggregate_column(a, low, frame.scope, frame.weight)
             name = fresh("agg")
             agg_cols.append(c.alias(name))
             made[a] = (col(name), t)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
 from functools import reduce
 from typing import Any
 
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .operators.match import Frame, Matcher, scan, unit
+from .operators.meet import Meeting
 from .operators.project import Projector, ordered, slice_of
 from .operators.write import PLACE, Kinds, Writer, bind_keys, keys_of
 from .functions.expressions import Bound, Lowering, aggregates, col
@@ -95,8 +97,13 @@ class GraphSession:
 
     def _statement(self, s: Statement, params: dict[str, Any], frame: Frame, last: bool, outer: Frame | None) -> tuple[tuple[DataFrame, Frame | None, list[str]], Frame | None]:
         keep = tuple(outer.scope) if outer is not None else ()
-        for c in s.clauses:
+        clauses = list(s.clauses)
+        for k, c in enumerate(clauses):
             if isinstance(c, Match):
+                after = clauses[k + 1] if k + 1 < len(clauses) else None
+                if frame.unit and not keep and (isinstance(after, With) or isinstance(after, Return) and last) and (folded := Meeting(self.graph, params).fold(c, after.body)):
+                    frame, clauses[k + 1] = folded[0], replace(after, body=folded[1])
+                    continue
                 frame = Matcher(self.graph, params).match(frame, c)
             elif isinstance(c, With):
                 frame, _ = Projector(self.graph, params).project(frame, c.body, keep)
